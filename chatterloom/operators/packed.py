@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 SEPARATORS = ",;|+\t\n，、；•"
 ENCLOSING = ('""', "''", "“”", "«»", "**")
-BLANKS = " \t\n\x0b\x0c\r\x85\xa0                　"
+BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202F\u205F\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 NO_VALUE = ("NA", "nan")
 
 
