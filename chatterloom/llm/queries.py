@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import lookalike
+from chatterloom.llm import copies, lookalike, overlap
 from chatterloom.operators.packed import unpack
 from chatterloom.session import stage
 
@@ -39,5 +39,38 @@ def p1_canonical(spark, sf_dir):
     return forms.unionByName(empty)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical)}
+def _cross_split(spark, sf_dir):
+    mega = table(spark, sf_dir, MEGA)
+    return overlap.cross_split(mega, table(spark, sf_dir, "baseline_scores"), "message_id", "message", "split")
+
+
+def p3_found(spark, sf_dir):
+    """Messages of val or test that stand in train, the same or almost the same."""
+    pairs = overlap.member_pairs(*_cross_split(spark, sf_dir))
+    return pairs.select(F.least("id_train", "id_other").alias("id_a"), F.greatest("id_train", "id_other").alias("id_b")).distinct()
+
+
+def p3_counts(spark, sf_dir):
+    """Per split and domain: messages, those that stand in train, and pairs with train."""
+    pairs = overlap.member_pairs(*_cross_split(spark, sf_dir)).distinct()
+    hits = pairs.groupBy(F.col("id_other").alias("message_id"), "split").agg(F.count("*").alias("pairs"))
+    rows = table(spark, sf_dir, "baseline_scores").where("split <> 'train'").select("message_id", "split").distinct()
+    rows = rows.join(table(spark, sf_dir, MEGA).select("message_id", "normalized_domain"), "message_id").join(hits, ["message_id", "split"], "left")
+    return rows.groupBy("split", "normalized_domain").agg(F.count("*").alias("n_messages"), F.count("pairs").alias("n_in_train"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"))
+
+
+CORE = "full_risk_v2_core"
+
+
+def p5_found(spark, sf_dir):
+    """Copies of core rows, each with the first row of its post."""
+    return copies.copies(table(spark, sf_dir, CORE), "row_id", ["channel", "message"], required="message")
+
+
+def p5_posts(spark, sf_dir):
+    """One row per post with its number of copies."""
+    return copies.posts(table(spark, sf_dir, CORE), "row_id", ["channel", "message"], required="message").select("kept_id", "n_copies")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_counts, p5_found, p5_posts)}
 ORACLE: dict[str, str] = {}
