@@ -6,78 +6,78 @@ other text is an ordered list of tokens. Digests are built bottom up: leaves are
 digests of an unordered node are sorted, and the root digest groups rows. The grouping key also holds
 the normalised tree itself, so rows of one root are compared in full and a digest collision cannot join
 different records. Equal rows combine before the shuffle, so a post with very many copies costs no task
-more than a row or so from each split. All of it runs as Catalyst expressions.
+more than a row or so from each split.
 
 Tokens are words, numbers with the marks inside them, and symbols such as emoji and currency signs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"\p{Nd}+(?:[\p{P}\p{S}]+\p{Nd}+)*|\p{L}[\p{L}\p{M}]*|[\p{Sc}\p{So}\p{No}\p{Nl}]"
-NAMED = r"(?:^|[;\n|]|(?<!\p{Nd}),|,(?!\p{Nd}))\s*(?:[-•>]\s+)?(\p{L}[\p{L}\p{M}_]*)\s*(?::|=|\s-\s)\s*"
-WRAPPING = r"[{}\[\]\"“”«»*]"
+TOKEN = re.compile("\\d+(?:[^\\w\\s]+\\d+)*|[^\\W\\d_]+|[$\u00A2-\u00A5\u20A0-\u20CF\u2600-\u27BF\U0001F000-\U0001FAFF]")
+NAMED = re.compile(r"(?:^|[;\n|]|(?<!\d),|,(?!\d))\s*(?:[-\u2022>]\s+)?([^\W\d_]\w*)\s*(?::|=|\s-\s)\s*")
+NAME_MARK = re.compile(r"[:=]|\s-\s")
+WRAPPING = str.maketrans("", "", "{}[]\"\u201C\u201D\u00AB\u00BB*")
 MIN_FIELDS = 3
-OPEN, SHUT = "\x01", "\x02"
+LEAF_END, NODE_END = "\x01", "\x02"
 
 
-def folded(c: Column) -> Column:
-    return F.lower(F.upper(c))
+def tokens(text: str) -> str:
+    return " ".join(TOKEN.findall(text))
 
 
-def tokens(c: Column) -> Column:
-    """Tokens of a folded text, joined by one blank."""
-    return F.array_join(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), " ")
+def node(text: str) -> tuple[str, list[str]]:
+    """Kind ("R" for named fields, "T" for text) and sorted or single leaves of a column's value."""
+    text = text.casefold()
+    if len(NAME_MARK.findall(text)) >= MIN_FIELDS:
+        parts = NAMED.split(text.translate(WRAPPING))
+        names = parts[1::2]
+        if len(names) >= MIN_FIELDS and len(set(names)) == len(names) and not tokens(parts[0]):
+            return "R", sorted(f"{tokens(n)}={tokens(v)}" for n, v in zip(names, parts[2::2]))
+    return "T", [tokens(text)]
 
 
-def _digest(c: Column) -> Column:
-    return F.unhex(F.md5(c))
+def digest_of(kind: str, leaves: list[str]) -> bytes:
+    children = sorted(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in leaves)
+    return xxhash.xxh3_128_digest(kind.encode() + b"".join(children))
 
 
-def tree(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with digest (of the root) and tree (the normalised record); null columns give null."""
-    keep = df.columns
-    out = df.select(*keep, *[folded(F.col(c).cast("string")).alias(f"_f{i}") for i, c in enumerate(columns)])
-    out = out.select(*keep, *[f"_f{i}" for i in range(len(columns))], *[F.split(F.regexp_replace(F.regexp_replace(f"_f{i}", WRAPPING, ""), NAMED, f"{OPEN}$1{SHUT}"), OPEN).alias(f"_p{i}") for i in range(len(columns))])
-    nodes, plain = [], []
-    for i in range(len(columns)):
-        parts, text = F.col(f"_p{i}"), F.col(f"_f{i}")
-        fields = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
-        names = F.transform(fields, lambda x: F.substring_index(x, SHUT, 1))
-        named = (F.size(parts) > MIN_FIELDS) & ~F.get(parts, F.lit(0)).rlike(r"[\p{L}\p{N}]") & (F.size(F.array_distinct(names)) == F.size(names))
-        leaves = F.transform(fields, lambda x: F.concat(tokens(F.substring_index(x, SHUT, 1)), F.lit("="), tokens(F.substring_index(x, SHUT, -1))))
-        nodes.append(F.when(named, F.sort_array(leaves)).otherwise(F.array(tokens(text))).alias(f"_n{i}"))
-        plain.append(named.alias(f"_u{i}"))
-    out = out.select(*keep, *nodes, *plain)
-    digests = [
-        _digest(F.concat(F.when(F.col(f"_u{i}"), "R").otherwise("T"), F.array_join(F.sort_array(F.transform(f"_n{i}", lambda x: F.md5(x))), "")))
-        for i in range(len(columns))
-    ]
-    whole = F.concat_ws(OPEN + OPEN, *[F.concat(F.when(F.col(f"_u{i}"), "R").otherwise("T"), F.array_join(f"_n{i}", OPEN)) for i in range(len(columns))])
-    known = F.lit(True)
-    for i in range(len(columns)):
-        known = known & F.col(f"_n{i}").isNotNull()
-    return out.select(*keep, F.when(known, _digest(F.concat(*[F.hex(d) for d in digests]))).alias("digest"), F.when(known, whole).alias("tree"))
+def tree(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """key, digest (of the root) and tree (the normalised record); columns may hold no null."""
+
+    def run(batches):
+        for batch in batches:
+            digests, trees = [], []
+            for values in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                nodes = [node(v) for v in values]
+                digests.append(xxhash.xxh3_128_digest(b"".join(digest_of(*n) for n in nodes)))
+                trees.append(NODE_END.join(kind + LEAF_END.join(leaves) for kind, leaves in nodes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(trees, pa.string())], names=["key", "digest", "tree"])
+
+    return df.select(F.col(key).cast("bigint").alias("key"), *[F.col(c).cast("string") for c in columns]).mapInArrow(run, "key bigint, digest binary, tree string")
 
 
 def posts(df: DataFrame, key: str, columns: Sequence[str], required: str | None = None) -> DataFrame:
     """One row per record: digest, check (of the tree), kept_id (smallest key) and n_copies (all its rows).
 
     Rows with a null in one of columns, or a blank required column, are left out. Records without any
-    token (only marks) are equal to each other if their columns are. Exact repeats count.
+    token (only marks) are equal to each other if their other columns are. Exact repeats count.
     """
-    rows = tree(_usable(df, key, columns, required), columns)
-    return rows.groupBy("digest", "tree").agg(F.min(key).alias("kept_id"), F.count("*").alias("n_copies")).select("digest", F.xxhash64("tree").alias("check"), "kept_id", "n_copies")
+    rows = tree(_usable(df, key, columns, required), key, columns)
+    return rows.groupBy("digest", "tree").agg(F.min("key").alias("kept_id"), F.count("*").alias("n_copies")).select("digest", F.xxhash64("tree").alias("check"), "kept_id", "n_copies")
 
 
 def copies(df: DataFrame, key: str, columns: Sequence[str], required: str | None = None) -> DataFrame:
     """kept_id and copy_id: every row but the first of each record, with the first."""
     kept = posts(df, key, columns, required).where("n_copies > 1").drop("n_copies")
-    rows = tree(_usable(df, key, columns, required), columns).select("digest", F.xxhash64("tree").alias("check"), F.col(key).alias("copy_id"))
+    rows = tree(_usable(df, key, columns, required), key, columns).select("digest", F.xxhash64("tree").alias("check"), F.col("key").alias("copy_id"))
     return rows.join(kept, ["digest", "check"]).where("copy_id <> kept_id").select("kept_id", "copy_id")
 
 
