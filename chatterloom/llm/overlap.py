@@ -4,10 +4,13 @@ A text is a vector over (word, n-th occurrence) with equal weights, scaled to no
 product of two vectors is their common words over the root of the product of their lengths. Two texts of
 which at least a share t of the longer one's words stands in the other have a dot product of at least t.
 Words are ordered by corpus frequency, rarest first. With the largest weight of a vector and the
-residual norm behind a position as bounds, what lies behind the first n - ceil(t n) + 2 words cannot
-make up for fewer than two common words before it, so inverted lists hold pairs of those words: any
-qualifying pair of texts shares a list, and lists stay short where single words are frequent. Candidates
-get their exact dot product and the longest common subsequence of their words.
+residual norm behind a position as bounds, what lies behind the first n - ceil(t n) + k words cannot
+make up for fewer than k common words before it, so inverted lists hold sets of k of those words: any
+qualifying pair of texts shares a list, and lists stay short where single words are frequent. k is 2,
+or 3 where the word counts foretell long lists. The first k common words keep their order, and those
+that stand once in either text their place up to the share that may differ; a list entry carries the
+places of two of them, which drops most chance meetings inside the join. Candidates get their exact dot
+product and the longest common subsequence of their words.
 
 Frequencies are counted over all texts in a dense array of fixed size by word hash; they only order the
 words, so hash collisions cost time and no result. Texts with equal words are one class; lists, products
@@ -86,29 +89,58 @@ def word_counts(vectors: DataFrame, column: str = "words") -> np.ndarray:
     return out
 
 
-def list_keys(lengths: np.ndarray, flat: np.ndarray, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit key of every inverted list entry of the texts whose words lie one after another in flat."""
+def list_keys(lengths: np.ndarray, flat: np.ndarray, counts: np.ndarray, share: float, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, 64-bit key and info of every inverted list entry of the texts whose words lie one after another in flat.
+
+    info: n, the places of the first two words of the set, and whether each stands once in its text (30, 16, 16, 1, 1 bits).
+    """
+    start = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     row = np.repeat(np.arange(len(lengths)), lengths)
     order = np.lexsort((flat, row))
     r, w = row[order], flat[order]
-    new = np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
+    new = np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(w) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
     nth = np.arange(len(w)) - first
+    place = order - start[r]
+    once = new & np.concatenate((new[1:], [True])) & (place < 1 << 16) if len(w) else new
     seen = counts[w.astype(np.int64) & (len(counts) - 1)]
     term = _mix(w.astype(np.uint32).astype(np.uint64) | (nth.astype(np.uint64) << np.uint64(32)))
     order = np.lexsort((term, seen, r))
-    r, term = r[order], term[order]
-    start = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    rank = np.arange(len(r)) - start[r]
-    prefix = lengths - np.ceil(share * lengths - 1e-9).astype(np.int64) + 2
-    keep = rank < np.minimum(prefix, lengths)[r]
-    r, term = r[keep], term[keep]
-    rows, keys = [], []
-    for d in range(1, int(np.minimum(prefix, lengths).max(initial=1))):
-        same = np.flatnonzero(r[d:] == r[:-d])
-        rows.append(r[same])
-        keys.append(_mix(term[same] * np.uint64(0x9E3779B97F4A7C15) + term[same + d]))
-    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    r, term, place, once = r[order], term[order], place[order] & 0xFFFF, once[order]
+    prefix = np.minimum(lengths - np.ceil(share * lengths - 1e-9).astype(np.int64) + k, lengths)
+    keep = np.arange(len(r)) - start[r] < prefix[r]
+    r, term, place, once = r[keep], term[keep], place[keep], once[keep]
+    rows, keys, infos = [], [], []
+    most = int(prefix.max(initial=1))
+    for d in range(1, most):
+        i = np.flatnonzero(r[d:] == r[:-d])
+        key = _mix(term[i] * np.uint64(0x9E3779B97F4A7C15) + term[i + d])
+        info = (lengths[r[i]] << 34) | (place[i] << 18) | (place[i + d] << 2) | (once[i].astype(np.int64) << 1) | once[i + d]
+        if k == 2:
+            rows.append(r[i]), keys.append(key), infos.append(info)
+            continue
+        for e in range(d + 1, most):
+            j = np.flatnonzero(i + e < len(r))
+            j = j[r[i[j] + e] == r[i[j]]]
+            rows.append(r[i[j]]), infos.append(info[j])
+            keys.append(_mix(key[j] * np.uint64(0x9E3779B97F4A7C15) + term[i[j] + e]))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(infos)
+
+
+def set_size(features: DataFrame, counts: np.ndarray, n: int, share: float, sample: int = 2000, most: float = 1.0) -> int:
+    """2, or 3 if texts would meet more than `most` others by chance per list entry of two words.
+
+    Judged from the words of a bounded sample; it decides how much is compared and not what is found.
+    """
+    met, entries = 0.0, 0
+    for x in features.select("words").limit(sample).collect():
+        c = np.sort(counts[np.asarray(x["words"], np.int64) & (len(counts) - 1)])
+        c = c[: len(c) - math.ceil(share * len(c)) + 2].astype(float)
+        met += (c.sum() ** 2 - (c * c).sum()) / 2 / max(n, 1)
+        entries += len(c) * (len(c) - 1) // 2
+    return 2 if met <= most * max(entries, 1) else 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -130,7 +162,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _entries(features: DataFrame, counts, share: float) -> DataFrame:
+def _entries(features: DataFrame, counts, share: float, k: int) -> DataFrame:
     def run(batches):
         table = np.frombuffer(counts.value, np.int64)
         for batch in batches:
@@ -138,11 +170,26 @@ def _entries(features: DataFrame, counts, share: float) -> DataFrame:
                 part = batch.slice(at, 2000)
                 words = part.column(1)
                 lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-                rows, keys = list_keys(lengths, pc.list_flatten(words).to_numpy(zero_copy_only=False), table, share)
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(take), pa.array(lengths[rows], pa.int16() if lengths.max(initial=0) < 32000 else pa.int32()).cast(pa.int32())], names=["list", "rep", "n"])
+                rows, keys, infos = list_keys(lengths, pc.list_flatten(words).to_numpy(zero_copy_only=False), table, share, k)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(pa.array(rows)), pa.array(infos)], names=["list", "rep", "info"])
+
+    return features.select("rep", "words").mapInArrow(run, "list bigint, rep bigint, info bigint")
+
 
-    return features.select("rep", "words").mapInArrow(run, "list bigint, rep bigint, n int")
+def _may_match(a, b, share: float):
+    """Condition on the infos of two entries of one list."""
+    na, nb = F.shiftright(a, 34), F.shiftright(b, 34)
+    longer, shorter = F.greatest(na, nb), F.least(na, nb)
+    slack = (1 - share) * longer + 1e-9
+    at = [(F.shiftright(x, 18).bitwiseAND(0xFFFF), F.shiftright(x, 2).bitwiseAND(0xFFFF)) for x in (a, b)]
+    both = a.bitwiseAND(b)
+    first, second = both.bitwiseAND(2) == 2, both.bitwiseAND(1) == 1
+    return (
+        (shorter >= share * longer - 1e-9)
+        & (~first | (F.abs(at[0][0] - at[1][0]) <= slack))
+        & (~second | (F.abs(at[0][1] - at[1][1]) <= slack))
+        & (~(first & second) | ((at[0][0] < at[0][1]) == (at[1][0] < at[1][1])))
+    )
 
 
 def cross_split(texts: DataFrame, splits: DataFrame, key: str, text: str, split: str, train: str = "train", share: float = 0.85, least: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -161,12 +208,13 @@ def cross_split(texts: DataFrame, splits: DataFrame, key: str, text: str, split:
     members = stage(members.join(classes.select("class", "rep"), "class").select("key", "rep", "split"), "members")
     reps = classes.select(F.col("rep").alias("key"), "in_train", "in_other")
     features = stage(vectors.select("key", "words").join(reps, "key").select(F.col("key").alias("rep"), "in_train", "in_other", "words"), "features")
-    counts = spark.sparkContext.broadcast(word_counts(features).tobytes())
+    seen = word_counts(features)
+    k = set_size(features, seen, features.count(), share)
+    counts = spark.sparkContext.broadcast(seen.tobytes())
 
-    a = _entries(features.where("in_train"), counts, share).toDF("list", "rep_a", "n_a")
-    b = _entries(features.where("in_other"), counts, share).toDF("list", "rep_b", "n_b")
-    near = F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9
-    found = a.join(b, "list").where((F.col("rep_a") != F.col("rep_b")) & near)
+    a = _entries(features.where("in_train"), counts, share, k).toDF("list", "rep_a", "info_a")
+    b = _entries(features.where("in_other"), counts, share, k).toDF("list", "rep_b", "info_b")
+    found = a.join(b, "list").where((F.col("rep_a") != F.col("rep_b")) & _may_match(F.col("info_a"), F.col("info_b"), share))
     found = stage(found.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct(), "candidates")
     ends = stage(found.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct(), "ends")
     words = stage(features.select("rep", "words").join(small(ends, MAX_BROADCAST_ROWS), "rep"), "compared")
