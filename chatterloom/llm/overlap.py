@@ -221,8 +221,10 @@ def cross_split(texts: DataFrame, splits: DataFrame, key: str, text: str, split:
 
     def verify(batches):
         for batch in batches:
-            ok = [_alike(x, y, share) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
+            near = np.flatnonzero(dot_products(batch.column(2), batch.column(3)) >= share - 1e-9)
+            some = batch.take(pa.array(near))
+            ok = [common_subsequence(x, y) >= share * max(len(x), len(y)) - 1e-9 for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist())]
+            yield some.select(["rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = (
         found.join(words.toDF("rep_a", "words_a"), "rep_a").join(words.toDF("rep_b", "words_b"), "rep_b")
@@ -232,14 +234,18 @@ def cross_split(texts: DataFrame, splits: DataFrame, key: str, text: str, split:
     return stage(pairs.unionByName(same), "pairs"), members
 
 
-def _alike(x: list[int], y: list[int], share: float) -> bool:
-    a, b = {}, {}
-    for w in x:
-        a[w] = a.get(w, 0) + 1
-    for w in y:
-        b[w] = b.get(w, 0) + 1
-    dot = sum(min(n, b.get(w, 0)) for w, n in a.items()) / math.sqrt(len(x) * len(y))
-    return dot >= share - 1e-9 and common_subsequence(x, y) >= share * max(len(x), len(y)) - 1e-9
+def dot_products(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """Dot product of the vectors of each pair of word lists."""
+
+    def counted(lists):
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        return n, *np.unique((np.repeat(np.arange(len(n)), n) << 32) | words.astype(np.uint32), return_counts=True)
+
+    (nx, kx, cx), (ny, ky, cy) = counted(x), counted(y)
+    _, i, j = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
+    common = np.bincount(kx[i] >> 32, np.minimum(cx[i], cy[j]), len(nx))[: len(nx)]
+    return common / np.sqrt(np.maximum(nx * ny, 1))
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame, train: str = "train") -> DataFrame:
