@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import copies, lookalike, overlap
+from chatterloom.llm import canonical_list, copies, lookalike, mixture, overlap, related_splits, spans, tokens
 from chatterloom.operators.packed import unpack
 from chatterloom.session import stage
 
@@ -72,5 +72,84 @@ def p5_posts(spark, sf_dir):
     return copies.posts(table(spark, sf_dir, CORE), "row_id", ["channel", "message"], required="message").select("kept_id", "n_copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_counts, p5_found, p5_posts)}
+def p4_found(spark, sf_dir):
+    """The label each value means that is not a label as it stands, 0 for none."""
+    values = unpack(table(spark, sf_dir, MEGA), ["message_id"], TAG_FIELDS)
+    return canonical_list.map_to_list(values, table(spark, sf_dir, "codebook_labels"), ["message_id"])
+
+
+def p4_unmatched(spark, sf_dir):
+    """Per field: messages with a value that means no label of the field."""
+    return p4_found(spark, sf_dir).groupBy("tag_field").agg(F.count_if(F.col("label_id") == 0).alias("n_unmatched"), F.count("*").alias("n_mapped"))
+
+
+def p7_splits(spark, sf_dir):
+    """Every message with its split; no domain is in two."""
+    return related_splits.assign(table(spark, sf_dir, MEGA), "message_id", ["normalized_domain"], "risk_label").select("message_id", "split")
+
+
+def p7_balance(spark, sf_dir):
+    """Rows, share of rows, domains and share of risk_label 1 per split."""
+    rows = related_splits.assign(table(spark, sf_dir, MEGA), "message_id", ["normalized_domain"], "risk_label").join(table(spark, sf_dir, MEGA).select("message_id", "normalized_domain", "risk_label"), "message_id")
+    out = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("normalized_domain").alias("n_domains"), F.round(F.avg("risk_label"), 6).alias("risk_share"))
+    return out.select("split", "n", F.round(F.col("n") / F.sum("n").over(mixture._whole()), 6).alias("row_share"), "n_domains", "risk_share")
+
+
+def p8_ids(spark, sf_dir):
+    """Token ids of every document."""
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_lengths(spark, sf_dir):
+    """Tokens of every document."""
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text", count_only=True)
+
+
+def _mix(spark, sf_dir, total=None):
+    docs = table(spark, sf_dir, "documents")
+    sized = stage(docs.select("doc_id", "source").join(tokens.encode(docs, "doc_id", "text", count_only=True), "doc_id"), "sized")
+    return mixture.mix(sized, table(spark, sf_dir, "source_mix"), "doc_id", "source", "n_tokens", total)
+
+
+def p9_mix(spark, sf_dir):
+    """Documents of the mix with their copies, at the largest size at which every source with documents has its share."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark, sf_dir):
+    """Per source the share it should have and has, at that size."""
+    return _mix(spark, sf_dir)[1]
+
+
+def p9_shares_full(spark, sf_dir):
+    """The same at the size of one epoch of all listed sources, where small sources reach their cap."""
+    return _mix(spark, sf_dir, "all")[1]
+
+
+def p10_found(spark, sf_dir):
+    """Documents that share a run of at least 100 characters."""
+    pairs = spans.document_pairs(*spans.shared(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return pairs.toDF("doc_id_a", "doc_id_b")
+
+
+def p10_stretches(spark, sf_dir):
+    """The stretches of each document that also stand in another one."""
+    return spans.stretches(*spans.shared(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def p10_coverage(spark, sf_dir):
+    """How much of each document's text also stands elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+    s = spans.stretches(*spans.shared(table(spark, sf_dir, "documents"), "doc_id", "text")).groupBy(F.col("id").alias("doc_id")).agg(F.sum("length").alias("shared_chars"))
+    shared_chars = F.coalesce("shared_chars", F.lit(0))
+    return docs.join(s, "doc_id", "left").select("doc_id", "n_chars", shared_chars.alias("shared_chars"), F.round(shared_chars / F.nullif(F.col("n_chars"), F.lit(0)), 6).alias("shared_share"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_canonical, p3_found, p3_counts, p4_found, p4_unmatched, p5_found, p5_posts, p7_splits, p7_balance,
+        p8_ids, p8_lengths, p9_mix, p9_shares, p9_shares_full, p10_found, p10_stretches, p10_coverage,
+    )
+}
 ORACLE: dict[str, str] = {}
