@@ -66,17 +66,26 @@ def deal(heads: list[tuple[int, int]], classes: list[tuple[int, int, int]], shar
     pool.sort(key=lambda x: (-x[0], x[1]))
     unit = max(1, rows // 4_000_000)
     home = [0] * len(heads)
+    total = sum(p for _, p in heads) + sum(p * m for _, p, m in classes)
+    rate = total / max(rows, 1)
     for s in sorted(range(1, k), key=lambda s: shares[s]):
         want = shares[s] * rows - sum(d[s] * c[0] for d, c in zip(dealt, classes))
-        # large components first in turn, so that a split is not made of small ones alone
-        taken = set(subset_nearest([max(1, round(n / unit)) for n, *_ in pool], max(0, round(want / unit))))
-        for i in taken:
-            kind, j = pool[i][2]
+        need = shares[s] * total - sum(d[s] * c[1] for d, c in zip(dealt, classes))
+        # components above and below the overall rate are chosen apart: so many rows of each that rows and positives both fit
+        high, low = [x for x in pool if x[1] > rate * x[0]], [x for x in pool if x[1] <= rate * x[0]]
+        up, down = (sum(x[1] for x in half) / max(sum(x[0] for x in half), 1) for half in (high, low))
+        part = (need - down * want) / (up - down) if up > down else 0.0
+        taken = []
+        for half, aim in ((high, min(max(part, 0.0), want)), (low, None)):
+            aim = want - sum(x[0] for x in taken) if aim is None else aim
+            taken += [half[i] for i in subset_nearest([max(1, round(x[0] / unit)) for x in half], max(0, round(aim / unit)))]
+        gone = {id(x) for x in taken}
+        for *_, (kind, j) in taken:
             if kind == "head":
                 home[j] = s
             else:
                 dealt[j][s] += 1
-        pool = [x for i, x in enumerate(pool) if i not in taken]
+        pool = [x for x in pool if id(x) not in gone]
     for *_, (kind, j) in pool:
         if kind == "class":
             dealt[j][0] += 1

@@ -47,13 +47,16 @@ def encoder(shipped):
 
 
 def boundaries(text: str, begin: int, end: int) -> list[int]:
-    """Starts of the pre-tokens of text within [begin, end), but for 0 and the last, which may be cut short."""
+    """Starts of pre-tokens of text within [begin, end) that follow no blank, but for 0 and the last, which may be cut short.
+
+    A blank before a cut would be split otherwise at the end of a piece than before more text.
+    """
     import regex
 
     global _PRE
     _PRE = _PRE or regex.compile(PATTERN)
     starts = [m.start() for m in _PRE.finditer(text)]
-    return [p for p in starts[1:-1] if begin <= p < end]
+    return [p for p in starts[1:-1] if begin <= p < end and not text[p - 1].isspace()]
 
 
 _PRE = None
