@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chatterloom.plans import training
+from chatterloom.plans import corpus, dynamics, evaluation, training
 
-MODULES = (training,)
+MODULES = (training, dynamics, evaluation, corpus)
 
 
 def queries() -> dict:
