@@ -161,11 +161,15 @@ def norm_labels(c: Column, table: str, drop: str | None = None) -> Column:
     return F.array_distinct(F.transform(labels, lambda x: bucket(x, table)))
 
 
+def _prefixed(prefix: str):
+    return lambda x: F.concat(F.lit(prefix), x)
+
+
 def style_tokens(theme: Column | None, claims: Column, ctas: Column, evidence: Column) -> Column:
     """field=value tokens of the normalised tags."""
     parts = [] if theme is None else [F.when(theme.isNotNull(), F.array(F.concat(F.lit("theme="), theme))).otherwise(F.array().cast("array<string>"))]
     for name, labels in (("claim", claims), ("cta", ctas), ("evid", evidence)):
-        parts.append(F.transform(labels, lambda x, n=name: F.concat(F.lit(f"{n}="), x)))
+        parts.append(F.transform(labels, _prefixed(f"{name}=")))
     return F.concat(*parts)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterloom.functions.text import utrim
+
 SIGNALS = tuple(f"signal_{i:02d}" for i in range(1, 20))
 RECORD = "message_id bigint, model string, p_high_risk double, y_pred int, usage struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>, raw string, elapsed_s double, error string"
 
@@ -51,10 +53,14 @@ def parsed_labels(text):
     """Map of the last value of each of the four keys in "key: value" lines; lines that start with m and digits are skipped."""
     keys = ("theme", "claim_types", "ctas", "evidence")
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: ~F.lower(x).rlike(r"^m\d+"))
-    pairs = [F.struct(F.lit(k).alias("k"), F.trim(F.regexp_extract(F.try_element_at(F.filter(lines, lambda x, k=k: F.lower(x).rlike(rf"^{k}\s*:")), F.lit(-1)), r"^[^:]*:(.*)$", 1)).alias("v")) for k in keys]
+
+    def last(k: str):
+        return F.try_element_at(F.filter(lines, lambda x: F.lower(x).rlike(rf"^{k}\s*:")), F.lit(-1))
+
+    pairs = [F.struct(F.lit(k).alias("k"), F.trim(F.regexp_extract(last(k), r"^[^:]*:(.*)$", 1)).alias("v")) for k in keys]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["v"].isNotNull()))
 
 
 def value_list(c):
     """Distinct sorted values between commas and semicolons, dashes made plain."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.translate(c, "‑–—", "---"), "[,;]"), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.translate(c, "‑–—", "---"), "[,;]"), utrim), lambda x: x != "")))

@@ -28,8 +28,15 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-TRIM = "regexp_replace({}, '^[\\s\\x{{A0}}\\x{{2005}}\\x{{2007}}\\x{{2009}}\\x{{202F}}]+|[\\s\\x{{A0}}\\x{{2005}}\\x{{2007}}\\x{{2009}}\\x{{202F}}]+$', '', 'g')"
-TOKENS = "list_filter(list_transform(string_split_regex(coalesce({}, ''), '[,+]'), lambda x: " + TRIM.format("x") + "), lambda x: x <> '' AND regexp_replace(lower(x), '\\s', '', 'g') <> 'link/url')"
+BLANK = "[\\s\\x{A0}\\x{2005}\\x{2007}\\x{2009}\\x{202F}]"
+
+
+def trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
+def tokens_sql(x: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(coalesce({x}, ''), '[,+]'), lambda x: {trim_sql('x')}), lambda x: x <> '' AND regexp_replace(lower(x), '\\s', '', 'g') <> 'link/url')"
 
 
 def bucket_sql(x: str, rules: str) -> str:
@@ -39,7 +46,7 @@ def bucket_sql(x: str, rules: str) -> str:
 
 
 def list_sql(field: str, rules: str, drop: str | None = None) -> str:
-    tokens = TOKENS.format(field)
+    tokens = tokens_sql(field)
     if drop:
         tokens = f"list_filter({tokens}, lambda x: NOT regexp_matches(lower(x), {q(drop)}))"
     return f"list_transform({tokens}, lambda x: {bucket_sql('x', rules)})"
@@ -47,10 +54,10 @@ def list_sql(field: str, rules: str, drop: str | None = None) -> str:
 
 def ordered(x: str) -> str:
     """Distinct items in order of first place."""
-    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+    return f"list_filter({x}, lambda item, i: list_position({x}, item) = i)"
 
 
-THEME = f"CASE WHEN {TRIM.format('theme')} <> '' THEN {bucket_sql(TRIM.format('theme'), L.THEME_RULES)} END"
+THEME = f"CASE WHEN {trim_sql('theme')} <> '' THEN {bucket_sql(trim_sql('theme'), L.THEME_RULES)} END"
 
 
 @query(f"SELECT message_id, {THEME} AS theme_bucket FROM {MEGA}")
@@ -58,7 +65,7 @@ def norm_theme(spark, sf_dir):
     return table(spark, sf_dir, MEGA).select("message_id", L.norm_theme(F.col("theme")).alias("theme_bucket"))
 
 
-@query(f"SELECT theme_bucket, count(*) AS n FROM (SELECT {THEME.replace('theme,', 'theme,')} AS theme_bucket FROM (SELECT replace(replace(replace(theme, '–', '-'), '—', '-'), '‑', '-') AS theme FROM {MEGA})) GROUP BY 1")
+@query(f"SELECT theme_bucket, count(*) AS n FROM (SELECT {THEME} AS theme_bucket FROM (SELECT replace(replace(replace(theme, '–', '-'), '—', '-'), '‑', '-') AS theme FROM {MEGA})) GROUP BY 1")
 def theme_counts_folded(spark, sf_dir):
     return table(spark, sf_dir, MEGA).groupBy(L.norm_theme(F.col("theme"), fold_dashes=True).alias("theme_bucket")).agg(F.count("*").alias("n"))
 
@@ -187,8 +194,7 @@ def stratified_split(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT theme, normalized_domain AS g FROM {MEGA} WHERE theme IS NOT NULL), f AS (SELECT DISTINCT theme AS fold FROM r), t AS (SELECT DISTINCT theme AS fold, g FROM r)
-    SELECT fold, (SELECT count(*) FROM r WHERE theme = fold) AS n_test, (SELECT count(*) FROM r WHERE theme <> fold AND NOT EXISTS (SELECT 1 FROM t WHERE t.fold = f.fold AND t.g = r.g)) AS n_train,
-    cast(n_train >= 1000 AS int) AS usable FROM f""")
+    SELECT *, cast(n_train >= 1000 AS int) AS usable FROM (SELECT fold, (SELECT count(*) FROM r WHERE theme = fold) AS n_test, (SELECT count(*) FROM r WHERE theme <> fold AND NOT EXISTS (SELECT 1 FROM t WHERE t.fold = f.fold AND t.g = r.g)) AS n_train FROM f)""")
 def leave_one_theme_out(spark, sf_dir):
     return sampling.leave_one_out(table(spark, sf_dir, MEGA), "message_id", "theme", "normalized_domain")
 
@@ -262,7 +268,7 @@ def agreement(spark, sf_dir):
     return s.agg(F.round(F.avg(F.col("a").eqNullSafe(F.col("b")).cast("int")), 6).alias("agreement"), F.count("*").alias("n"))
 
 
-@query("SELECT row_id, theme, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(claim_types, '[,;]'), lambda x: trim(x)), lambda x: x <> ''))), '|') AS claims FROM (SELECT row_id, trim(theme) AS theme, regexp_replace(replace(replace(replace(claim_types, '‑', '-'), '–', '-'), '—', '-'), '\\n', ' ', 'g') AS claim_types FROM full_risk_v2_core WHERE theme IS NOT NULL AND claim_types IS NOT NULL)")
+@query(f"SELECT row_id, theme, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(claim_types, '[,;]'), lambda x: {trim_sql('x')}), lambda x: x <> ''))), '|') AS claims FROM (SELECT row_id, trim(theme) AS theme, regexp_replace(replace(replace(replace(claim_types, '‑', '-'), '–', '-'), '—', '-'), '\\n', ' ', 'g') AS claim_types FROM full_risk_v2_core WHERE theme IS NOT NULL AND claim_types IS NOT NULL)")
 def parsed_labels(spark, sf_dir):
     c = table(spark, sf_dir, "full_risk_v2_core").where("theme is not null and claim_types is not null")
     text = F.concat(F.lit("M61\ntheme: x\nTheme : "), F.col("theme"), F.lit("\nclaim_types: "), F.translate("claim_types", "\n", " "), F.lit("\nfoo: y"))

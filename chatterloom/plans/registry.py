@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chatterloom.plans import corpus, dynamics, evaluation, training
+from chatterloom.plans import corpus, dynamics, evaluation, modelling, training
 
-MODULES = (training, dynamics, evaluation, corpus)
+MODULES = (training, dynamics, evaluation, corpus, modelling)
 
 
 def queries() -> dict:
