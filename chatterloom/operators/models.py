@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizerModel, StandardScaler
+from pyspark.ml.feature import PCA, CountVectorizerModel, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +112,14 @@ def label_model(votes: DataFrame, signals: Sequence[str], rounds: int = 50) -> d
         acc = np.clip((right.sum(0) + 1) / (cast.sum(0) + 2), 0.05, 0.95)
         prior = float(np.clip((p * k).sum() / max(k.sum(), 1), 0.05, 0.95))
     return dict(zip(signals, acc.tolist()))
+
+
+def stack(df: DataFrame, scores: Sequence[str], label: str, fit_on, c: float = 1.0) -> DataFrame:
+    """df with p: converged logistic regression (L2, C = c) on the scores and the products of their pairs, fitted on the rows where fit_on holds."""
+    names = list(scores)
+    products = [(f"_x{i}_{j}", F.col(names[i]) * F.col(names[j])) for i in range(len(names)) for j in range(i)]
+    x = VectorAssembler(inputCols=[*names, *[n for n, _ in products]], outputCol="_stack").transform(df.withColumns(dict(products)))
+    train = x.where(fit_on)
+    n = max(train.count(), 1)
+    model = LogisticRegression(featuresCol="_stack", labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, predictionCol="_pred", rawPredictionCol="_raw", probabilityCol="_prob").fit(train)
+    return model.transform(x).withColumn("p", vector_to_array("_prob")[1]).drop("_stack", "_pred", "_raw", "_prob", *[n for n, _ in products])

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from chatterloom.functions import labels as L
 from chatterloom.functions import text as T
+from chatterloom.operators import agreement as agreement_ops
 from chatterloom.operators import annotation as A
-from chatterloom.operators import backfill, sampling
+from chatterloom.operators import backfill, prompting, sampling
 from chatterloom.plans.dynamics import split_sql
 from chatterloom.plans.training import MEGA, table
 
@@ -39,17 +40,18 @@ def tokens_sql(x: str) -> str:
     return f"list_filter(list_transform(string_split_regex(coalesce({x}, ''), '[,+]'), lambda x: {trim_sql('x')}), lambda x: x <> '' AND regexp_replace(lower(x), '\\s', '', 'g') <> 'link/url')"
 
 
-def bucket_sql(x: str, rules: str) -> str:
+def bucket_sql(x: str, rules: str, exact: bool = True) -> str:
     pairs = L.rules(rules)
+    own = f"{x} IN ({', '.join(q(n) for n, _ in pairs)})" if exact else "false"
     cases = " ".join(f"WHEN regexp_matches(lower({x}), {q(p)}) THEN {q(n)}" for n, p in pairs[:-1] if p and "^\\s" not in p.replace("[", ""))
-    return f"CASE WHEN {x} IN ({', '.join(q(n) for n, _ in pairs)}) THEN {x} {cases} ELSE {q(pairs[-1][0])} END"
+    return f"CASE WHEN {own} THEN {x} {cases} ELSE {q(pairs[-1][0])} END"
 
 
-def list_sql(field: str, rules: str, drop: str | None = None) -> str:
+def list_sql(field: str, rules: str, drop: str | None = None, exact: bool = True) -> str:
     tokens = tokens_sql(field)
     if drop:
         tokens = f"list_filter({tokens}, lambda x: NOT regexp_matches(lower(x), {q(drop)}))"
-    return f"list_transform({tokens}, lambda x: {bucket_sql('x', rules)})"
+    return f"list_transform({tokens}, lambda x: {bucket_sql('x', rules, exact)})"
 
 
 def ordered(x: str) -> str:
@@ -70,9 +72,9 @@ def theme_counts_folded(spark, sf_dir):
     return table(spark, sf_dir, MEGA).groupBy(L.norm_theme(F.col("theme"), fold_dashes=True).alias("theme_bucket")).agg(F.count("*").alias("n"))
 
 
-def _labels(name, field, rules, drop=None):
-    x = list_sql(field, rules, drop)
-    QUERIES[name] = lambda spark, sf_dir: table(spark, sf_dir, MEGA).select("message_id", F.array_join(L.norm_labels(F.col(field), rules, drop), "|").alias("labels"))
+def _labels(name, field, rules, drop=None, exact=True):
+    x = list_sql(field, rules, drop, exact)
+    QUERIES[name] = lambda spark, sf_dir: table(spark, sf_dir, MEGA).select("message_id", F.array_join(L.norm_labels(F.col(field), rules, drop, exact), "|").alias("labels"))
     ORACLE[name] = f"SELECT message_id, coalesce(array_to_string({ordered('v')}, '|'), '') AS labels FROM (SELECT message_id, {x} AS v FROM {MEGA})"
 
 
@@ -80,6 +82,14 @@ _labels("norm_claims", "claim_types", L.CLAIM_RULES)
 _labels("norm_claims_ablation", "claim_types", L.CLAIM_RULES_ABLATION)
 _labels("norm_ctas", "ctas", L.CTA_RULES)
 _labels("norm_evidence", "evidence", L.EVIDENCE_RULES, "link|url")
+_labels("norm_claims_reduced", "claim_types", L.CLAIM_RULES_REDUCED, exact=False)
+_labels("norm_ctas_reduced", "ctas", L.CTA_RULES_REDUCED, exact=False)
+_labels("norm_evidence_reduced", "evidence", L.EVIDENCE_RULES, "link|url", exact=False)
+
+
+@query(f"SELECT message_id, CASE WHEN {trim_sql('theme')} <> '' THEN {bucket_sql(trim_sql('theme'), L.THEME_RULES_REDUCED)} END AS theme_bucket FROM {MEGA}")
+def norm_theme_reduced(spark, sf_dir):
+    return table(spark, sf_dir, MEGA).select("message_id", L.norm_theme(F.col("theme"), table=L.THEME_RULES_REDUCED).alias("theme_bucket"))
 
 
 @query(f"""WITH t AS (SELECT unnest(list_concat(CASE WHEN th IS NULL THEN [] ELSE ['theme=' || th] END, list_transform({ordered('c')}, lambda x: 'claim=' || x), list_transform({ordered('a')}, lambda x: 'cta=' || x), list_transform({ordered('e')}, lambda x: 'evid=' || x))) AS token
@@ -282,3 +292,32 @@ def exact_match(spark, sf_dir):
     b = c.select((F.col("row_id") - 1).alias("row_id"), *[F.col(x).alias(f"b_{x}") for x in c.columns[1:]])
     same = [F.col(x).eqNullSafe(F.col(f"b_{x}")) for x in c.columns[1:]]
     return c.join(b, "row_id").agg(F.round(100 * F.avg(same[0].cast("int")), 6).alias("theme_match"), F.round(100 * F.avg((same[0] & same[1] & same[2] & same[3]).cast("int")), 6).alias("all_match"), F.count("*").alias("n"))
+
+
+@query()
+def fuzzy_agreement(spark, sf_dir):
+    """Agreement of the claim labels of consecutive core rows by greedy fuzzy matching."""
+    c = table(spark, sf_dir, "full_risk_v2_core").select("row_id", A.value_list(F.coalesce("claim_types", F.lit(""))).alias("a"))
+    return agreement_ops.greedy_agreement(c.join(c.select((F.col("row_id") - 1).alias("row_id"), F.col("a").alias("b")), "row_id"), "row_id", "a", "b")
+
+
+@query("""SELECT row_id, regexp_extract(regexp_extract(message, 'https?://[^\\s<>"]+|www\\.[^\\s<>"]+'), '^https?://[a-zA-Z0-9/:._?=&%#~+,@-]+') AS url FROM full_risk_v2_core WHERE message IS NOT NULL AND regexp_extract(regexp_extract(message, 'https?://[^\\s<>"]+|www\\.[^\\s<>"]+'), '^https?://[a-zA-Z0-9/:._?=&%#~+,@-]+') <> ''""")
+def first_urls(spark, sf_dir):
+    return table(spark, sf_dir, "full_risk_v2_core").where("message is not null").select("row_id", prompting.first_url(F.col("message")).alias("url")).where("url is not null")
+
+
+@query("SELECT row_id, CASE WHEN NOT contains(message, 'http') THEN 0 WHEN length(message) < 50 THEN 3 WHEN length(message) < 100 THEN 2 ELSE 0 END AS max_results, 'message text:' || message AS prompt FROM full_risk_v2_core WHERE message IS NOT NULL")
+def chat_samples(spark, sf_dir):
+    c = table(spark, sf_dir, "full_risk_v2_core").where("message is not null")
+    chat = prompting.chat(F.lit("Tag the message."), F.col("message"))
+    return c.select("row_id", prompting.search_results_wanted(F.col("message")).alias("max_results"), F.element_at(chat, -1)["content"].alias("prompt"))
+
+
+@query(f"SELECT split, printf('%.3f ± %.3f', avg(p_hat_raw), stddev_samp(p_hat_raw)) AS cell FROM baseline_scores WHERE split IS NOT NULL GROUP BY split")
+def mean_std_cells(spark, sf_dir):
+    return table(spark, sf_dir, "baseline_scores").where("split is not null").groupBy("split").agg(F.format_string("%.3f ± %.3f", F.avg("p_hat_raw"), F.stddev_samp("p_hat_raw")).alias("cell"))
+
+
+@query(f"SELECT message_id, CASE WHEN length(t) > 220 THEN substr(t, 1, 220) || '…' ELSE t END AS excerpt FROM (SELECT message_id, {trim_sql("replace(message, chr(10), ' ')")} AS t FROM {MEGA} WHERE message IS NOT NULL)")
+def excerpts(spark, sf_dir):
+    return table(spark, sf_dir, MEGA).where("message is not null").select("message_id", T.excerpt(F.col("message")).alias("excerpt"))

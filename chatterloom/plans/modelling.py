@@ -73,3 +73,27 @@ def embedding_clusters(spark, sf_dir):
 def signal_accuracies(spark, sf_dir):
     acc = models.label_model(corpus.signal_table(spark, sf_dir), SIGNALS)
     return spark.createDataFrame(sorted(acc.items()), "signal_key string, accuracy double")
+
+
+@query()
+def ablation_grid(spark, sf_dir):
+    """Style model on subsets of the tag fields, metrics on test."""
+    rows, out = styled(spark, sf_dir), None
+    for name, fields in (("full", ("claim", "cta", "evid")), ("claim only", ("claim",)), ("cta only", ("cta",)), ("evidence only", ("evid",)), ("drop claim", ("cta", "evid")), ("drop cta", ("claim", "evid")), ("drop evidence", ("claim", "cta"))):
+        vocabulary = [t for t in STYLE if t.split("=")[0] in fields]
+        beta, b = models.logistic_gd(rows.where("split = 'train'"), "tokens", "y", vocabulary)
+        scored = models.score_gd(rows.where("split = 'test'"), "tokens", vocabulary, beta, b).withColumn("pred", (F.col("p") >= 0.5).cast("int")).withColumn("fields", F.lit(name))
+        part = M.bundle(scored, ["fields"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def stacked_ensemble(spark, sf_dir):
+    """Converged logistic regression on the base score, the style score and their product, fitted on val, metrics on test."""
+    rows = styled(spark, sf_dir)
+    beta, b = models.logistic_gd(rows.where("split = 'train'"), "tokens", "y", STYLE)
+    base = table(spark, sf_dir, "baseline_scores").select("message_id", F.col("p_hat_raw").alias("p_text")).distinct()
+    x = models.score_gd(rows, "tokens", STYLE, beta, b).withColumnRenamed("p", "p_style").join(base, "message_id")
+    out = models.stack(x, ["p_text", "p_style"], "y", x["split"] == "val").where("split = 'test'")
+    return M.bundle(out.withColumn("pred", (F.col("p") >= 0.5).cast("int")), ["split"])
