@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.lookalike import plain
+from chatterloom.llm.lookalike import LOOKALIKES, plain
 from chatterloom.session import small, stage
 
 WORD = re.compile(r"[^\W_]+")
@@ -37,9 +37,20 @@ TABLE_BITS = 17
 MAX_BROADCAST_ROWS = 500_000
 
 
+def _case_table() -> dict[int, str]:
+    """Small letters to the plain letter that they or their capitals look like, so that both cases of a word agree."""
+    pairs = [(c, line[0]) for line in LOOKALIKES.split("\n") if line for c in line[2:]]
+    small = {ord(c): a for c, a in pairs if c.islower()}
+    return small | {ord(c.lower()): a.lower() for c, a in pairs if c.isupper()}
+
+
+CASE_TABLE = _case_table()
+
+
 def words_of(text: str) -> list[str]:
     """Words of text: runs of letters and digits, case ignored, look-alikes made plain."""
-    return WORD.findall(plain(text).casefold())
+    folded = plain(text).casefold()
+    return WORD.findall(folded if folded.isascii() else folded.translate(CASE_TABLE))
 
 
 def word_vectors(df: DataFrame, key: str, text: str, least: int) -> DataFrame:

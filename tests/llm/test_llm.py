@@ -88,6 +88,11 @@ def test_overlap_against_brute_force(spark):
     assert overlap.cross_split(texts.limit(0), split, "k", "t", "s")[0].count() == 0
 
 
+def test_words_ignore_case_and_script():
+    assert overlap.words_of("ВРАЧ Уже Note Ёж") == overlap.words_of("врач уже nоte ёж")
+    assert overlap.words_of("a_b-c\u200bd 12,5") == ["a", "b", "cd", "12", "5"]
+
+
 def test_three_word_lists_find_what_two_find():
     import numpy as np
 
