@@ -301,6 +301,26 @@ def canonical_texts(df: DataFrame, fld: str, key: str, text: str, keep: bool = F
     return out if keep else out.drop("canonical_text")
 
 
+def like_listed(df: DataFrame, text: str, listed: Iterable[str]) -> DataFrame:
+    """Rows of df whose text may look like one of listed in other characters: equal plain forms, unequal characters.
+
+    Equal canonical forms have equal plain forms, so no look-alike is lost. listed: a list of fixed size. Null
+    texts are left out.
+    """
+    by_form: dict[str, set[str]] = {}
+    for t in listed:
+        if t is not None:
+            by_form.setdefault(plain(t).strip(" \n"), set()).add(t)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            keep = [t is not None and any(x != t for x in by_form.get(plain(t).strip(" \n"), ())) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 EMPTY = digest("")
 
 

@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def p1_found(spark, sf_dir):
     """Messages that look the same, and claim_types values that look like a label, in other characters."""
     messages = table(spark, sf_dir, MEGA).select(F.lit("message").alias("fld"), F.col("message_id").alias("id"), F.col("message").alias("text"))
-    values = unpack(table(spark, sf_dir, MEGA).where("claim_types rlike '[^\\\\x00-\\\\x7F]|\\t'"), ["message_id"], ["claim_types"])
-    values = values.where("tag_value rlike '[^\\\\x00-\\\\x7F]|\\t'").select(F.lit("value").alias("fld"), F.col("message_id").alias("id"), F.col("tag_value").alias("text"))
     labels = table(spark, sf_dir, "codebook_labels").where("tag_field = 'claim_types'").select(F.lit("label").alias("fld"), F.col("label_id").cast("bigint").alias("id"), F.col("label").alias("text"))
+    values = unpack(table(spark, sf_dir, MEGA), ["message_id"], ["claim_types"]).select(F.lit("value").alias("fld"), F.col("message_id").alias("id"), F.col("tag_value").alias("text"))
+    values = lookalike.like_listed(values, "text", [r.text for r in labels.select("text").collect()])
     texts = stage(lookalike.canonical_texts(messages.unionByName(values).unionByName(labels), "fld", "id", "text"), "forms", by="fld")
     alike = lookalike.same_look_pairs(texts.where("fld = 'message'")).select(F.lit("message").alias("fld"), "id_a", "id_b")
     label = texts.where("fld = 'label'").select(F.col("id").alias("id_a"), F.col("raw").alias("raw_a"), "canon")

@@ -48,6 +48,14 @@ def test_same_look(spark):
     assert lookalike.canonical_texts(df.limit(0), "fld", "k", "t").count() == 0
 
 
+def test_ascii_values_that_look_like_a_label(spark, tmp_path):
+    labels = [(1, "claim_types", "Cherry\u2011picking"), (2, "claim_types", "Satire or parody"), (3, "ctas", "Send money")]
+    values = ["Cherry-picking", "Cherry\u2011picking", "Satire\x07 or parody", "Satire or parody", "Satire or pаrody", "Satire  or parody", "Send\x07 money", '"Satire\tor parody", Cherry-picking', None]
+    spark.createDataFrame(labels, "label_id int, tag_field string, label string").write.parquet(f"{tmp_path}/codebook_labels.parquet")
+    spark.createDataFrame([(10 + i, None, v) for i, v in enumerate(values)], "message_id long, message string, claim_types string").write.parquet(f"{tmp_path}/{queries.MEGA}.parquet")
+    assert {tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()} == {("claim_types", 1, 10), ("claim_types", 2, 12), ("claim_types", 2, 14), ("claim_types", 2, 17), ("claim_types", 1, 17)}
+
+
 # p3
 
 
