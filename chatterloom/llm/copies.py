@@ -1,18 +1,25 @@
 """Copies of one record that differ only in blanks, letter case, punctuation or the order of named fields.
 
-A record is a tree: its columns are ordered children, a column that names fields (three or more of
-"name: value", "name = value", "name - value" or JSON members) is an unordered node over them, any
-other text is an ordered list of tokens. Digests are built bottom up: leaves are normalised, the child
-digests of an unordered node are sorted, and the root digest groups rows. The grouping key also holds
-the normalised tree itself, so rows of one root are compared in full and a digest collision cannot join
-different records. Equal rows combine before the shuffle, so a post with very many copies costs no task
-more than a row or so from each split.
+A record is a tree: its columns are ordered children. A column reads as an ordered list of tokens; one that
+names fields (two or more separated parts "name: value", "name = value", "name - value" or JSON members)
+reads also as an unordered node over them. A part is cut off by a semicolon, bar, line end or comma not
+between digits; a name may have several words; the text up to the next field belongs to the value. Words
+before the first field are an ordered leaf beside the node, and fields of one name keep their order.
+
+Marks strewn into prose can look like fields, so neither reading decides alone: two columns are the same if
+their tokens are or their nodes are, and groups are closed over both. Digests are built bottom up: leaves
+are normalised, the child digests of a node are in the order of the sorted leaves, and a root digest stands
+for each reading. Rows are grouped by their token reading; groups that share another reading are joined into
+components. A root is 192 bits long, the digest of the tree and a second hash of its whole text; the trees
+themselves are not moved. Equal rows combine before the shuffle, so a post with very many copies costs no task more
+than a row or so from each split.
 
 Tokens are words, numbers with the marks inside them, and symbols such as emoji and currency signs.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -21,11 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatterloom.llm.related_splits import components
+from chatterloom.session import stage
+
 TOKEN = re.compile("\\d+(?:[^\\w\\s]+\\d+)*|[^\\W\\d_]+|[$\u00A2-\u00A5\u20A0-\u20CF\u2600-\u27BF\U0001F000-\U0001FAFF]")
-NAMED = re.compile(r"(?:^|[;\n|]|(?<!\d),|,(?!\d))\s*(?:[-\u2022>]\s+)?([^\W\d_]\w*)\s*(?::|=|\s-\s)\s*")
-NAME_MARK = re.compile(r"[:=]|\s-\s")
+PART = re.compile(r"[;\n|]|(?<!\d),|,(?!\d)")
+MARK = re.compile(r"\s*[:=]\s*|\s+[-–—]\s+")
+BULLET = re.compile(r"\s*[-–—•>]\s+")
+CLOCK = re.compile(r"(?:^|\W)\d+$")
 WRAPPING = str.maketrans("", "", "{}[]\"\u201C\u201D\u00AB\u00BB*")
-MIN_FIELDS = 3
+MIN_FIELDS = 2
 LEAF_END, NODE_END = "\x01", "\x02"
 
 
@@ -33,52 +45,114 @@ def tokens(text: str) -> str:
     return " ".join(TOKEN.findall(text))
 
 
-def node(text: str) -> tuple[str, list[str]]:
-    """Kind ("R" for named fields, "T" for text) and sorted or single leaves of a column's value."""
+def name_and_value(part: str) -> tuple[str, str] | None:
+    """Name and value of a part, as tokens, cut at its first mark; None if it names nothing."""
+    at = BULLET.match(part)
+    part = part[at.end() :] if at else part
+    for m in MARK.finditer(part):
+        if m.group() == ":" and (part[m.end() :].startswith("//") or part[m.end() : m.end() + 1].isdigit() and CLOCK.search(part[: m.start()])):
+            continue
+        name = tokens(part[: m.start()])
+        return (name, tokens(part[m.end() :])) if name and not name[0].isdigit() else None
+    return None
+
+
+def fields(text: str, titled: bool = False) -> list[str] | None:
+    """Leaves of the node text names, in sorted order, the words before it first; None for fewer than two fields. text is casefolded.
+
+    titled: read a first part "title: name: value" as words and a field; None if there is none.
+    """
+    if len(MARK.findall(text)) < MIN_FIELDS:
+        return None
+    title, found = [], []
+    for part in PART.split(text.translate(WRAPPING)):
+        if (field := name_and_value(part)) is not None:
+            if titled and not found:
+                if title or (inner := _titled(part)) is None:
+                    return None
+                title.append(inner[0])
+                field = inner[1]
+            found.append([*field])
+        elif words := tokens(part):
+            if found:
+                found[-1][1] = f"{found[-1][1]} {words}".strip()
+            else:
+                title.append(words)
+    if len(found) < MIN_FIELDS:
+        return None
+    return [" ".join(title), *(f"{n}={v}" for n, v in sorted(found, key=lambda f: f[0]))]
+
+
+def _titled(part: str) -> tuple[str, tuple[str, str]] | None:
+    """Title and field of a part "title: name: value"."""
+    head, mark, rest = part.partition(":")
+    field = name_and_value(rest) if mark and ":" in rest else None
+    return (tokens(head), field) if field and tokens(head) else None
+
+
+def readings(text: str) -> list[tuple[str, list[str]]]:
+    """Kind and leaves of every reading of a column's value: "T", its tokens, first, and "R" for each way it names fields."""
     text = text.casefold()
-    if len(NAME_MARK.findall(text)) >= MIN_FIELDS:
-        parts = NAMED.split(text.translate(WRAPPING))
-        names = parts[1::2]
-        if len(names) >= MIN_FIELDS and len(set(names)) == len(names) and not tokens(parts[0]):
-            return "R", sorted(f"{tokens(n)}={tokens(v)}" for n, v in zip(names, parts[2::2]))
-    return "T", [tokens(text)]
+    return [("T", [tokens(text)])] + [("R", named) for named in (fields(text), fields(text, titled=True)) if named]
 
 
 def digest_of(kind: str, leaves: list[str]) -> bytes:
-    children = sorted(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in leaves)
+    children = (xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in leaves)
     return xxhash.xxh3_128_digest(kind.encode() + b"".join(children))
 
 
-def tree(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """key, digest (of the root) and tree (the normalised record); columns may hold no null."""
+def root(nodes: Sequence[tuple[str, list[str]]]) -> bytes:
+    """Digest of a record's root, and behind it the check of its tree."""
+    whole = NODE_END.join(kind + LEAF_END.join(leaves) for kind, leaves in nodes)
+    return xxhash.xxh3_128_digest(b"".join(digest_of(*n) for n in nodes)) + xxhash.xxh64_digest(whole.encode("utf-8", "surrogatepass"))
+
+
+def trees(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """key, root (of the tokens) and others (roots of every other reading, null for none); columns may hold no null."""
 
     def run(batches):
         for batch in batches:
-            digests, trees = [], []
+            roots, others = [], []
             for values in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                nodes = [node(v) for v in values]
-                digests.append(xxhash.xxh3_128_digest(b"".join(digest_of(*n) for n in nodes)))
-                trees.append(NODE_END.join(kind + LEAF_END.join(leaves) for kind, leaves in nodes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(trees, pa.string())], names=["key", "digest", "tree"])
+                first, *more = (root(nodes) for nodes in itertools.product(*map(readings, values)))
+                roots.append(first)
+                others.append(more or None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(others, pa.list_(pa.binary()))], names=["key", "root", "others"])
+
+    return df.select(F.col(key).cast("bigint").alias("key"), *[F.col(c).cast("string") for c in columns]).mapInArrow(run, "key bigint, root binary, others array<binary>")
+
 
-    return df.select(F.col(key).cast("bigint").alias("key"), *[F.col(c).cast("string") for c in columns]).mapInArrow(run, "key bigint, digest binary, tree string")
+def grouped(df: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, root), and the post of every root that has to take another's (root, post)."""
+    rows = stage(trees(df, key, columns), "trees")
+    edges = rows.where("others is not null").select("root", F.explode("others").alias("other")).distinct()
+    shared = edges.groupBy("other").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("other", "lo")
+    links = edges.join(shared, "other").where("root <> lo").select(F.hex("lo").alias("u"), F.hex("root").alias("v"))
+    posts = components(links).where("node <> root").select(F.unhex("node").alias("root"), F.unhex("root").alias("post"))
+    return rows.select("key", "root"), stage(posts, "posts")
 
 
 def posts(df: DataFrame, key: str, columns: Sequence[str], required: str | None = None) -> DataFrame:
-    """One row per record: digest, check (of the tree), kept_id (smallest key) and n_copies (all its rows).
+    """One row per record: post (its root), kept_id (smallest key) and n_copies (all its rows).
 
     Rows with a null in one of columns, or a blank required column, are left out. Records without any
     token (only marks) are equal to each other if their other columns are. Exact repeats count.
     """
-    rows = tree(_usable(df, key, columns, required), key, columns)
-    return rows.groupBy("digest", "tree").agg(F.min("key").alias("kept_id"), F.count("*").alias("n_copies")).select("digest", F.xxhash64("tree").alias("check"), "kept_id", "n_copies")
+    return _posts(*grouped(_usable(df, key, columns, required), key, columns))
+
+
+def _posts(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    per_root = rows.groupBy("root").agg(F.min("key").alias("kept_id"), F.count("*").alias("n"))
+    per_root = per_root.join(moved, "root", "left").select(F.coalesce("post", "root").alias("post"), "kept_id", "n")
+    return per_root.groupBy("post").agg(F.min("kept_id").alias("kept_id"), F.sum("n").alias("n_copies"))
 
 
 def copies(df: DataFrame, key: str, columns: Sequence[str], required: str | None = None) -> DataFrame:
     """kept_id and copy_id: every row but the first of each record, with the first."""
-    kept = posts(df, key, columns, required).where("n_copies > 1").drop("n_copies")
-    rows = tree(_usable(df, key, columns, required), key, columns).select("digest", F.xxhash64("tree").alias("check"), F.col("key").alias("copy_id"))
-    return rows.join(kept, ["digest", "check"]).where("copy_id <> kept_id").select("kept_id", "copy_id")
+    rows, moved = grouped(_usable(df, key, columns, required), key, columns)
+    kept = _posts(rows, moved).where("n_copies > 1").drop("n_copies")
+    rows = rows.join(moved, "root", "left").select(F.coalesce("post", "root").alias("post"), F.col("key").alias("copy_id"))
+    return rows.join(kept, "post").where("copy_id <> kept_id").select("kept_id", "copy_id")
 
 
 def _usable(df: DataFrame, key: str, columns: Sequence[str], required: str | None) -> DataFrame:

@@ -143,6 +143,26 @@ def test_copies(spark):
     assert copies.copies(df.limit(0), "k", ["c", "m"]).count() == 0
 
 
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("Entry: 35; Stop: 2", "Stop: 2; Entry: 35", True), ("Entry: 35; Stop: 2", "Entry: 2; Stop: 35", False), ("BTC signal\nEntry: 35\nStop: 2\nTarget: 40", "BTC signal\nTarget = 40\nEntry = 35\nStop = 2", True),
+        ("BTC signal\nEntry: 35\nStop: 2", "ETH signal\nStop: 2\nEntry: 35", False), ("BTC signal: Entry: 35; Stop: 2", "BTC signal\nStop: 2\nEntry: 35", True), ("Entry: 35; Take profit: 5; Stop: 2", "Take profit - 5 | Stop - 2 | Entry - 35", True),
+        ("Target: 40; Target: 45; Stop: 2", "Stop: 2; Target: 40; Target: 45", True), ("Target: 40; Target: 45; Stop: 2", "Stop: 2; Target: 45; Target: 40", False), ("Entry: 35\nStop: 2", '{"stop":"2","entry":"35"}', True),
+        ("Stop: 2; Time: 10:30", "time: 10:30, stop: 2", True), ("Note: see: x; Stop: 2", "Stop: 2; Note: see: x", True), ("the desk: sold it, then; they: left", "the desk sold it then they left", True), ("they left then the desk sold it", "the desk sold it then they left", False),
+    ],
+)
+def test_named_fields_in_any_order(spark, a, b, same):
+    df = spark.createDataFrame([(1, "c", a), (2, "c", b)], "k long, c string, m string")
+    assert {tuple(r) for r in copies.copies(df, "k", ["c", "m"]).collect()} == ({(1, 2)} if same else set())
+
+
+def test_posts_close_over_both_readings(spark):
+    df = spark.createDataFrame([(4, "c", "A: x; B: y"), (3, "c", "b: y; a: x"), (2, "c", "b y a x"), (1, "c", "a x b y")], "k long, c string, m string")
+    assert {tuple(r) for r in copies.copies(df, "k", ["c", "m"]).collect()} == {(1, 2), (1, 3), (1, 4)}
+    assert [r.n_copies for r in copies.posts(df, "k", ["c", "m"]).collect()] == [4]
+
+
 # p7
 
 
