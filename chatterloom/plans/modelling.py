@@ -55,7 +55,7 @@ def noise_robustness(spark, sf_dir):
     """Metrics on test under flipped style bits."""
     rows = styled(spark, sf_dir)
     beta, b = models.logistic_gd(rows.where("split = 'train'"), "tokens", "y", STYLE)
-    noisy = models.flip_noise(rows.where("split = 'test'"), "message_id", "tokens", STYLE, (0.0, 0.05, 0.1, 0.2), 2)
+    noisy = models.flip_noise(rows.where("split = 'test'"), "message_id", "tokens", STYLE, (0.0, 0.05, 0.1, 0.2), 5)
     return M.bundle(models.score_gd(noisy, "tokens", STYLE, beta, b).withColumn("pred", (F.col("p") >= 0.5).cast("int")), ["rate", "rep"])
 
 

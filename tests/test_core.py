@@ -81,3 +81,10 @@ def test_stream(spark, tmp_path, data):
     q.processAllAvailable()
     q.stop()
     assert spark.table("weekly").agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_noise_has_five_repetitions(spark, data):
+    from chatterloom.plans import modelling
+
+    rows = modelling.noise_robustness(spark, data).collect()
+    assert {(r.rate, r.rep) for r in rows} == {(x, i) for x in (0.0, 0.05, 0.1, 0.2) for i in range(5)}
