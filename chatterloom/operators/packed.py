@@ -6,8 +6,8 @@ new Arrow array with the ordinal of their parent row. Python touches only values
 
 Rules. Separators: comma, semicolon, bar, plus, bullet, tab, line end, and the wide comma, enumeration
 comma and semicolon. A separator inside a balanced pair of quotes separates nothing. Pairs that enclose
-a whole value ("", '', “”, «», **) and the brackets of a JSON list are taken off; a quote mark inside a
-quoted value that was doubled or escaped is written once. Blanks around a value go, empty places are not
+a whole value ("", '', “”, «»), at any depth, and the brackets of a JSON list are taken off; a quote mark
+inside a quoted value that was doubled or escaped is written once. Asterisks belong to the value. Blanks around a value go, empty places are not
 counted. An unbalanced quote is an ordinary character. Null and blank fields, and fields that are just
 NA or nan, hold no value.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATORS = ",;|+\t\n，、；•"
-ENCLOSING = ('""', "''", "“”", "«»", "**")
+ENCLOSING = ('""', "''", "“”", "«»")
 BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202F\u205F\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 NO_VALUE = ("NA", "nan")
 
@@ -156,7 +156,8 @@ def split_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     unquoted = np.zeros(len(a), bool)
     marks = {pair: (_found(buf, pair[0]), _found(buf, pair[1])) for pair in ENCLOSING}
     counts = {pair: _Rows(m[0] | m[1]) for pair, m in marks.items()}
-    for _ in range(4):
+    changed = True
+    while changed:
         changed = False
         for pair, (opened, closed) in marks.items():
             w, v = len(pair[0].encode()), len(pair[1].encode())
@@ -176,8 +177,6 @@ def split_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             if len(idx):
                 a[idx], b[idx] = _trim(solid, a[idx] + w, b[idx] - v)
                 changed = True
-        if not changed:
-            break
 
     keep = b > a
     parent, a, b, unquoted = parent[keep], a[keep], b[keep], unquoted[keep]

@@ -24,8 +24,9 @@ def one(text):
         ('"Alarm ""sic"""，x', ['Alarm "sic"', "x"]),
         (json.dumps(["A", 'B "so called"', "c, d"]), ["A", 'B "so called"', "c, d"]),
         ("doctor's findings, it's", ["doctor's findings", "it's"]), ('5" pipe, b', ['5" pipe', "b"]),
-        ("*a*, b (likely), c/d - e", ["a", "b (likely)", "c/d - e"]), (" a , 　b", ["a", "b"]),
+        ("*a*, b (likely), c/d - e", ["*a*", "b (likely)", "c/d - e"]), (" a , 　b", ["a", "b"]),
         ('"a" and "b", c', ['"a" and "b"', "c"]), ("«a", ["«a"]),
+        ("«“'a'”», b", ["a", "b"]),
     ],
 )
 def test_cases(text, values):
