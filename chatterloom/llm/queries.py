@@ -132,6 +132,17 @@ def p10_found(spark, sf_dir):
     return pairs.toDF("doc_id_a", "doc_id_b")
 
 
+def p10_links(spark, sf_dir):
+    """Every document of at least 100 characters with the class of its text and the number of documents it shares a run with."""
+    return spans.links(*spans.shared(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def p10_passages(spark, sf_dir):
+    """Aligned passages, verbatim or changed by up to a fifth, of every two text classes (named by their first document)."""
+    pairs, _ = spans.shared(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return spans.passages(pairs).withColumnsRenamed({"rep_a": "doc_id_a", "rep_b": "doc_id_b"})
+
+
 def p10_stretches(spark, sf_dir):
     """The stretches of each document that also stand in another one."""
     return spans.stretches(*spans.shared(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
@@ -149,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_canonical, p3_found, p3_counts, p4_found, p4_unmatched, p5_found, p5_posts, p7_splits, p7_balance,
-        p8_ids, p8_lengths, p9_mix, p9_shares, p9_shares_full, p10_found, p10_stretches, p10_coverage,
+        p8_ids, p8_lengths, p9_mix, p9_shares, p9_shares_full, p10_found, p10_links, p10_passages, p10_stretches, p10_coverage,
     )
 }
 ORACLE: dict[str, str] = {}

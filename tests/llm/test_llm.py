@@ -223,38 +223,3 @@ def test_mix(spark):
     assert abs(r["big"].real_share - 5 / 9) < 0.002 and r["none"].real_share == 0 and r["small"].most_copies <= 3
     assert got.where("k >= 9000").count() == 0 and got.groupBy("k").count().where("count > 1").count() == 0
     assert mixture.mix(docs.limit(0), shares, "k", "source", "z")[0].count() == 0
-
-
-# p10
-
-
-def test_spans_against_brute_force(spark):
-    rnd = random.Random(3)
-    base = ["".join(rnd.choice("abcdef ж中\U0001f525") for _ in range(400)) for _ in range(6)]
-    texts = [None, "", "x" * 300, "x" * 250, "q"]
-    for _ in range(40):
-        a, b = rnd.choice(base), rnd.choice(base)
-        i, n = rnd.randrange(300), rnd.choice([60, 90, 99, 100, 101, 140, 300])
-        texts.append("".join(rnd.choice("uvwxyz") for _ in range(rnd.randrange(80))) + a[i : i + n] + "|" + b[: rnd.choice([0, 99, 130])])
-    texts += [texts[10], texts[10]]
-    df = spark.createDataFrame([(i, t, *JUNK[1:]) for i, t in enumerate(texts)], "id long, t string, rep string, n int, h int, label string, source int, class int")
-    pairs, members = spans.shared(df, "id", "t")
-    got = {(r.id_a, r.id_b) for r in spans.document_pairs(pairs, members).collect()}
-    grams = [set() if not t else {t[i : i + 100] for i in range(len(t) - 99)} for t in texts]
-    assert got == {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grams[i] & grams[j]}
-    length = {}
-    for r in spans.stretches(pairs, members).collect():
-        length[r.id] = length.get(r.id, 0) + r.length
-    for i, t in enumerate(texts):
-        others = set().union(*(g for j, g in enumerate(grams) if j != i))
-        inside = [False] * len(t or "")
-        for p in range(len(t or "") - 99):
-            if t[p : p + 100] in others:
-                inside[p : p + 100] = [True] * 100
-        assert length.get(i, 0) == sum(inside)
-    assert spans.shared(df.limit(0), "id", "t")[0].count() == 0
-
-
-def test_chain():
-    score, path = spans.chain([(0, 0), (30, 30), (10, 500), (64, 64)], 64)
-    assert path == [(0, 0), (30, 30), (64, 64)] and score == 128
