@@ -210,7 +210,7 @@ def align(path: list[tuple[int, int]], a: _Slices, b: _Slices, k: int, least: in
     """Verbatim runs (start in a, start in b, length) and passages (from_a, to_a, from_b, to_b, edits) of one chain.
 
     compared: diagonals of slices whose runs are known already. Blocks of the chain grow as far as the
-    characters agree. Gaps between them that are not alike (more than half of the longer side changed) end a
+    characters agree. Gaps between them with more edits than a quarter of the shorter block beside them end a
     passage; passages of at least `least` characters on both sides and of enough similarity count.
     """
     (from_a, x), (from_b, y) = a.around(path[0][0]), b.around(path[0][1])
@@ -241,7 +241,7 @@ def align(path: list[tuple[int, int]], a: _Slices, b: _Slices, k: int, least: in
         if i < len(blocks):
             p, q = blocks[i - 1], blocks[i]
             changed = edits(x[p[1] - from_a : q[0] - from_a], y[p[3] - from_b : q[2] - from_b])
-            if 2 * changed <= max(q[0] - p[1], q[2] - p[3]):
+            if 4 * changed <= min(p[1] - p[0], q[1] - q[0]):
                 blocks[i] = (*q, changed)
                 continue
         piece = blocks[at:i]
