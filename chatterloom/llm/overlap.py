@@ -1,20 +1,26 @@
 """Same or nearly same texts across data splits: an exact weighted cosine join.
 
-A text is a vector over (word, n-th occurrence) with equal weights, scaled to norm one, so the dot
-product of two vectors is their common words over the root of the product of their lengths. Two texts of
-which at least a share t of the longer one's words stands in the other have a dot product of at least t.
-Words are ordered by corpus frequency, rarest first. With the largest weight of a vector and the
-residual norm behind a position as bounds, what lies behind the first n - ceil(t n) + k words cannot
-make up for fewer than k common words before it, so inverted lists hold sets of k of those words: any
-qualifying pair of texts shares a list, and lists stay short where single words are frequent. k is 2,
-or 3 where the word counts foretell long lists. The first k common words keep their order, and those
-that stand once in either text their place up to the share that may differ; a list entry carries the
-places of two of them, which drops most chance meetings inside the join. Candidates get their exact dot
-product and the longest common subsequence of their words.
-
-Frequencies are counted over all texts in a dense array of fixed size by word hash; they only order the
-words, so hash collisions cost time and no result. Texts with equal words are one class; lists, products
-and alignments are made once per pair of classes.
+A text is a vector over (word, n-th occurrence). The square of a component, its mass, falls with the
+number of times the word stands in the corpus, from 1 for the rarest to over 2/3 for the most frequent;
+the dot product of two vectors is the mass of their common words. If a share t of the longer text's words
+stands in the other, each text misses at most n - ceil(t n) words, so the dot product is at least the mass
+of the text without that many of its heaviest words: its need. Masses span no more than a third because
+the wanted share is one of words, whatever they weigh; a wider span would let a text miss much more mass,
+which lowers the need and lengthens the lists.
+
+Inverted lists hold sets of k words (2, or 3 where the word counts foretell long lists). Words are taken
+heaviest first. With the largest masses as bound for fewer than k common words among the first p and the
+squared residual norm behind p for the rest, indexing stops at the first p for which both together stay
+below the need: a qualifying pair of texts shares a list of its first k common words. Each entry carries
+its bound (mass of its set and residual norm behind it), the need and the length of its text, and the
+places of two of its words; two entries of a list are a candidate if the smaller bound reaches the larger
+need, lengths agree and places have moved no further than missing words allow. Candidates get their exact
+dot product, then the longest common subsequence of their words, and what remains is compared word by word.
+
+Occurrences are counted over all texts in an array of fixed size by word hash and kept as logarithms; they
+only weigh and order words, so collisions cost time and no result. Texts with equal words (a 128-bit digest
+of them) are one class; lists, products and alignments are made once per pair of classes. Long lists are
+left to the adaptive split of skewed joins.
 """
 
 from __future__ import annotations
@@ -33,7 +39,11 @@ from chatterloom.llm.lookalike import LOOKALIKES, plain
 from chatterloom.session import small, stage
 
 WORD = re.compile(r"[^\W_]+")
-TABLE_BITS = 17
+TABLE_BITS = 22
+LEVELS = 8
+SATURATED = (1 << 15) - 1
+FAR = (1 << 12) - 1
+PARTS = (1 << 11) - 1
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -75,83 +85,114 @@ def word_vectors(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key bigint, class binary, words array<int>")
 
 
-def word_counts(vectors: DataFrame, column: str = "words") -> np.ndarray:
-    """Number of occurrences of each word hash, modulo the size of the table, over all rows.
+def word_levels(vectors: DataFrame, column: str = "words", bits: int = TABLE_BITS) -> np.ndarray:
+    """LEVELS times the binary logarithm of the number of occurrences of each word hash, modulo the size of the table, over all rows.
 
-    Splits add into dense arrays that are summed block by block; the driver gets the table, whose size is fixed.
+    Splits add up dense arrays and hand on what is not zero; the driver gets a byte for each slot of the table, whose size is fixed.
     """
-    size, blocks = 1 << TABLE_BITS, 16
-    step = size // blocks
+    size = 1 << bits
 
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) & (size - 1), minlength=size)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(blocks)], pa.binary())})
-
-    def add(table):
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
-        return pa.table({"block": table["block"][:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = vectors.select(column).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    out = np.zeros(size, np.int64)
-    for p in parts:
-        out[p["block"] * step : (p["block"] + 1) * step] = np.frombuffer(p["counts"], np.int64)
+            slots, many = np.unique(pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) & (size - 1), return_counts=True)
+            total[slots] += many
+        slots = np.flatnonzero(total)
+        for at in range(0, len(slots), 100_000):
+            part = slots[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["slot", "n"])
+
+    sums = vectors.select(column).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.round(F.log2(F.sum("n")) * LEVELS).cast("int").alias("level")).toArrow()
+    out = np.zeros(size, np.uint8)
+    out[sums["slot"].to_numpy()] = np.minimum(sums["level"].to_numpy(), 255)
     return out
 
 
-def list_keys(lengths: np.ndarray, flat: np.ndarray, counts: np.ndarray, share: float, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, 64-bit key and info of every inverted list entry of the texts whose words lie one after another in flat.
-
-    info: n, the places of the first two words of the set, and whether each stands once in its text (30, 16, 16, 1, 1 bits).
+def masses(levels: np.ndarray) -> np.ndarray:
+    """Squared weight by level, from 1 down to more than 2/3."""
+    return 1 - levels / (3 * 256)
+
+
+class _Ordered:
+    """Terms of texts whose words lie one after another in flat, heaviest first within each text."""
+
+    def __init__(self, lengths: np.ndarray, flat: np.ndarray, table: np.ndarray, share: float):
+        start = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        order = np.lexsort((flat, row))
+        r, w = row[order], flat[order]
+        new = np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(w) else np.zeros(0, bool)
+        nth = np.arange(len(w)) - np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+        once = new & np.concatenate((new[1:], [True])) if len(w) else new
+        term = _mix(w.astype(np.uint32).astype(np.uint64) | (nth.astype(np.uint64) << np.uint64(32)))
+        place = order - start[r]
+        level = table[w.astype(np.int64) & (len(table) - 1)]
+        by = np.lexsort((term, level, r))
+        self.row, self.term, self.place, self.once = r, term[by], place[by], once[by]
+        self.mass = masses(level[by])
+        self.lengths, self.start = lengths, start
+        upto = np.concatenate(([0.0], np.cumsum(self.mass)))
+        self.before = upto[:-1] - upto[start[r]] if len(r) else np.zeros(0)
+        self.total = upto[start + lengths] - upto[start]
+        self.missing = lengths - np.ceil(share * lengths - 1e-9).astype(np.int64)
+        self.spare = self.heaviest(self.missing)
+        self.need = self.total - self.spare
+
+    def heaviest(self, many) -> np.ndarray:
+        """Mass of so many of the heaviest words of each text."""
+        upto = np.concatenate(([0.0], np.cumsum(self.mass)))
+        return upto[self.start + np.minimum(many, self.lengths)] - upto[self.start]
+
+
+def list_keys(lengths: np.ndarray, flat: np.ndarray, table: np.ndarray, share: float, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, 64-bit key and info of every inverted list entry of the texts.
+
+    info: n, need and bound as parts of n, the places of the first two words of the set, and whether each stands once in
+    its text (15, 11, 11, 12, 12, 1, 1 bits); n stops at SATURATED, which fits anything.
     """
-    start = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((flat, row))
-    r, w = row[order], flat[order]
-    new = np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(w) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-    nth = np.arange(len(w)) - first
-    place = order - start[r]
-    once = new & np.concatenate((new[1:], [True])) & (place < 1 << 16) if len(w) else new
-    seen = counts[w.astype(np.int64) & (len(counts) - 1)]
-    term = _mix(w.astype(np.uint32).astype(np.uint64) | (nth.astype(np.uint64) << np.uint64(32)))
-    order = np.lexsort((term, seen, r))
-    r, term, place, once = r[order], term[order], place[order] & 0xFFFF, once[order]
-    prefix = np.minimum(lengths - np.ceil(share * lengths - 1e-9).astype(np.int64) + k, lengths)
-    keep = np.arange(len(r)) - start[r] < prefix[r]
-    r, term, place, once = r[keep], term[keep], place[keep], once[keep]
+    x = _Ordered(lengths, flat, table, share)
+    # fewer than k common words among the first p have at most the k - 1 largest masses, and what follows at most the residual norm
+    keep = x.before <= (x.heaviest(k - 1) + x.spare)[x.row] + 1e-9
+    r, term, mass, behind = x.row[keep], x.term[keep], x.mass[keep], (x.total[x.row] - x.before - x.mass)[keep]
+    place, once = np.minimum(x.place[keep], FAR), x.once[keep] & (x.place[keep] < FAR)
+    n = np.maximum(lengths, 1)
+    fixed = (np.minimum(lengths, SATURATED) << 48) | (np.floor(np.clip(x.need / n, 0, 1) * PARTS).astype(np.int64) << 37)
+    most = int(np.bincount(r).max()) if len(r) else 1
     rows, keys, infos = [], [], []
-    most = int(prefix.max(initial=1))
-    for d in range(1, most):
-        i = np.flatnonzero(r[d:] == r[:-d])
-        key = _mix(term[i] * np.uint64(0x9E3779B97F4A7C15) + term[i + d])
-        info = (lengths[r[i]] << 34) | (place[i] << 18) | (place[i + d] << 2) | (once[i].astype(np.int64) << 1) | once[i + d]
-        if k == 2:
-            rows.append(r[i]), keys.append(key), infos.append(info)
-            continue
-        for e in range(d + 1, most):
-            j = np.flatnonzero(i + e < len(r))
-            j = j[r[i[j] + e] == r[i[j]]]
-            rows.append(r[i[j]]), infos.append(info[j])
-            keys.append(_mix(key[j] * np.uint64(0x9E3779B97F4A7C15) + term[i[j] + e]))
+    sets = [(np.arange(len(r)), np.arange(len(r)), np.arange(len(r)), term, mass)]  # first, second and last word, key, mass
+    for size in range(1, k):
+        longer = []
+        for first, second, last, key, held in sets:
+            for d in range(1, most):
+                i = np.flatnonzero(last + d < len(r))
+                i = i[r[last[i] + d] == r[first[i]]]
+                if not len(i):
+                    break
+                at = last[i] + d
+                longer.append((first[i], at if size == 1 else second[i], at, _mix(key[i] * np.uint64(0x9E3779B97F4A7C15) + term[at]), held[i] + mass[at]))
+        sets = longer
+    for first, second, last, key, held in sets:
+        t = r[first]
+        bound = np.ceil(np.clip((held + behind[last]) / n[t], 0, 1) * PARTS - 1e-9).astype(np.int64)
+        infos.append(fixed[t] | (bound << 26) | (place[first] << 14) | (place[second] << 2) | (once[first].astype(np.int64) << 1) | once[second])
+        rows.append(t), keys.append(key)
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(infos)
 
 
-def set_size(features: DataFrame, counts: np.ndarray, n: int, share: float, sample: int = 2000, most: float = 1.0) -> int:
-    """2, or 3 if texts would meet more than `most` others by chance per list entry of two words.
+def set_size(features: DataFrame, table: np.ndarray, n: int, share: float, least: int, sample: int = 2000, most: float = 1.0) -> int:
+    """2, or 3 if texts would meet more than `most` others by chance per list entry of two words; fewer if the shortest texts need fewer.
 
-    Judged from the words of a bounded sample; it decides how much is compared and not what is found.
+    Judged from the words of a bounded random sample (smallest hashes); it decides how much is compared and not what is found.
     """
     met, entries = 0.0, 0
-    for x in features.select("words").limit(sample).collect():
-        c = np.sort(counts[np.asarray(x["words"], np.int64) & (len(counts) - 1)])
-        c = c[: len(c) - math.ceil(share * len(c)) + 2].astype(float)
+    for x in features.select("words").orderBy(F.xxhash64("rep")).limit(sample).collect():
+        c = np.sort(2.0 ** (table[np.asarray(x["words"], np.int64) & (len(table) - 1)] / LEVELS))
+        c = c[: len(c) - math.ceil(share * len(c)) + 2]
         met += (c.sum() ** 2 - (c * c).sum()) / 2 / max(n, 1)
         entries += len(c) * (len(c) - 1) // 2
-    return 2 if met <= most * max(entries, 1) else 3
+    return max(1, min(2 if met <= most * max(entries, 1) else 3, math.ceil(share * least - 1e-9)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -173,9 +214,9 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _entries(features: DataFrame, counts, share: float, k: int) -> DataFrame:
+def _entries(features: DataFrame, levels, share: float, k: int) -> DataFrame:
     def run(batches):
-        table = np.frombuffer(counts.value, np.int64)
+        table = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -189,14 +230,20 @@ def _entries(features: DataFrame, counts, share: float, k: int) -> DataFrame:
 
 def _may_match(a, b, share: float):
     """Condition on the infos of two entries of one list."""
-    na, nb = F.shiftright(a, 34), F.shiftright(b, 34)
+
+    def bits(x, at, mask):
+        return F.shiftright(x, at).bitwiseAND(mask)
+
+    na, nb = F.shiftright(a, 48), F.shiftright(b, 48)
     longer, shorter = F.greatest(na, nb), F.least(na, nb)
     slack = (1 - share) * longer + 1e-9
-    at = [(F.shiftright(x, 18).bitwiseAND(0xFFFF), F.shiftright(x, 2).bitwiseAND(0xFFFF)) for x in (a, b)]
+    needs, bounds = ([n * bits(x, at, PARTS) for x, n in ((a, na), (b, nb))] for at in (37, 26))
+    at = [(bits(x, 14, FAR), bits(x, 2, FAR)) for x in (a, b)]
     both = a.bitwiseAND(b)
     first, second = both.bitwiseAND(2) == 2, both.bitwiseAND(1) == 1
-    return (
+    return (longer == SATURATED) | (
         (shorter >= share * longer - 1e-9)
+        & (F.least(*bounds) >= F.greatest(*needs))
         & (~first | (F.abs(at[0][0] - at[1][0]) <= slack))
         & (~second | (F.abs(at[0][1] - at[1][1]) <= slack))
         & (~(first & second) | ((at[0][0] < at[0][1]) == (at[1][0] < at[1][1])))
@@ -216,47 +263,61 @@ def cross_split(texts: DataFrame, splits: DataFrame, key: str, text: str, split:
     members = vectors.select("key", "class").join(split_of, "key")
     in_train, in_other = F.max(F.col("split") == train), F.max(F.col("split") != train)
     classes = members.groupBy("class").agg(F.min("key").alias("rep"), in_train.alias("in_train"), in_other.alias("in_other"))
-    members = stage(members.join(classes.select("class", "rep"), "class").select("key", "rep", "split"), "members")
+    members = stage(members.join(classes.select("class", "rep"), "class").select("key", "rep", "split").distinct(), "members")
     reps = classes.select(F.col("rep").alias("key"), "in_train", "in_other")
     features = stage(vectors.select("key", "words").join(reps, "key").select(F.col("key").alias("rep"), "in_train", "in_other", "words"), "features")
-    seen = word_counts(features)
-    k = set_size(features, seen, features.count(), share)
-    counts = spark.sparkContext.broadcast(seen.tobytes())
+    table = word_levels(features)
+    k = set_size(features, table, features.count(), share, least)
+    levels = spark.sparkContext.broadcast(table.tobytes())
 
-    a = _entries(features.where("in_train"), counts, share, k).toDF("list", "rep_a", "info_a")
-    b = _entries(features.where("in_other"), counts, share, k).toDF("list", "rep_b", "info_b")
+    a = _entries(features.where("in_train"), levels, share, k).toDF("list", "rep_a", "info_a")
+    b = _entries(features.where("in_other"), levels, share, k).toDF("list", "rep_b", "info_b")
     found = a.join(b, "list").where((F.col("rep_a") != F.col("rep_b")) & _may_match(F.col("info_a"), F.col("info_b"), share))
     found = stage(found.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct(), "candidates")
     ends = stage(found.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct(), "ends")
     words = stage(features.select("rep", "words").join(small(ends, MAX_BROADCAST_ROWS), "rep"), "compared")
 
     def verify(batches):
+        table = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
-            near = np.flatnonzero(dot_products(batch.column(2), batch.column(3)) >= share - 1e-9)
+            near = np.flatnonzero(similar(batch.column(2), batch.column(3), table, share))
             some = batch.take(pa.array(near))
             ok = [common_subsequence(x, y) >= share * max(len(x), len(y)) - 1e-9 for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist())]
             yield some.select(["rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = (
-        found.join(words.toDF("rep_a", "words_a"), "rep_a").join(words.toDF("rep_b", "words_b"), "rep_b")
-        .select("rep_a", "rep_b", "words_a", "words_b").mapInArrow(verify, "rep_a bigint, rep_b bigint")
-    )
-    same = features.where("in_train and in_other").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"))
+    def confirm(batches):
+        for batch in batches:
+            ok = [common_subsequence(x, y) >= share * max(len(x), len(y)) - 1e-9 for x, y in zip(*([words_of(t) for t in batch.column(c).to_pylist()] for c in (2, 3)))]
+            yield batch.select(["rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
+
+    found = _with_both(found, words, "words").mapInArrow(verify, "rep_a bigint, rep_b bigint")
+    found = stage(found, "alike")
+    whole = texts.select(F.col(key).cast("bigint").alias("rep"), F.col(text).cast("string").alias("text"))
+    whole = stage(whole.join(small(stage(found.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct(), "ends"), MAX_BROADCAST_ROWS), "rep"), "confirmed")
+    pairs = _with_both(found, whole, "text").mapInArrow(confirm, "rep_a bigint, rep_b bigint").distinct()
+    same = features.where("in_train and in_other").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")).distinct()
     return stage(pairs.unionByName(same), "pairs"), members
 
 
-def dot_products(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
-    """Dot product of the vectors of each pair of word lists."""
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """rep_a, rep_b and the column of table (rep, column) for both."""
+    out = pairs.join(table.toDF("rep_a", "of_a"), "rep_a").join(table.toDF("rep_b", "of_b"), "rep_b")
+    return out.select("rep_a", "rep_b", F.col("of_a").alias(f"{column}_a"), F.col("of_b").alias(f"{column}_b"))
+
+
+def similar(x: pa.ListArray, y: pa.ListArray, table: np.ndarray, share: float) -> np.ndarray:
+    """Whether the dot product of the vectors of each pair of word lists reaches the need of both."""
 
     def counted(lists):
         n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         words = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-        return n, *np.unique((np.repeat(np.arange(len(n)), n) << 32) | words.astype(np.uint32), return_counts=True)
+        return _Ordered(n, words, table, share).need, *np.unique((np.repeat(np.arange(len(n)), n) << 32) | words.astype(np.uint32), return_counts=True)
 
-    (nx, kx, cx), (ny, ky, cy) = counted(x), counted(y)
+    (need_x, kx, cx), (need_y, ky, cy) = counted(x), counted(y)
     _, i, j = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
-    common = np.bincount(kx[i] >> 32, np.minimum(cx[i], cy[j]), len(nx))[: len(nx)]
-    return common / np.sqrt(np.maximum(nx * ny, 1))
+    slot = kx[i].astype(np.uint32).astype(np.int64) & (len(table) - 1)
+    dot = np.bincount(kx[i] >> 32, np.minimum(cx[i], cy[j]) * masses(table[slot]), len(need_x))[: len(need_x)]
+    return dot >= np.maximum(need_x, need_y) - 1e-6
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame, train: str = "train") -> DataFrame:
@@ -265,3 +326,12 @@ def member_pairs(pairs: DataFrame, members: DataFrame, train: str = "train") ->
     b = members.where(F.col("split") != train).select(F.col("key").alias("id_other"), F.col("rep").alias("r_other"), "split")
     both = pairs.select(F.col("rep_a").alias("r_train"), F.col("rep_b").alias("r_other")).unionByName(pairs.where("rep_a <> rep_b").select(F.col("rep_b").alias("r_train"), F.col("rep_a").alias("r_other")))
     return both.join(a, "r_train").join(b, "r_other").select("id_train", "id_other", "split")
+
+
+def links(pairs: DataFrame, members: DataFrame, train: str = "train") -> DataFrame:
+    """key, split, class_id and n_links of every key: the keys across the splits (train or not) it is linked with."""
+    members = members.withColumn("side", F.col("split") == train)
+    sizes = members.groupBy("rep", "side").agg(F.count("*").alias("n"))
+    both = pairs.select("rep_a", "rep_b").unionByName(pairs.where("rep_a <> rep_b").select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b")))
+    linked = both.join(sizes.toDF("rep_b", "other", "n"), "rep_b").groupBy(F.col("rep_a").alias("rep"), (~F.col("other")).alias("side")).agg(F.sum("n").alias("n_links"))
+    return members.join(linked, ["rep", "side"], "left").select("key", "split", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

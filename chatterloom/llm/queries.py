@@ -50,6 +50,11 @@ def p3_found(spark, sf_dir):
     return pairs.select(F.least("id_train", "id_other").alias("id_a"), F.greatest("id_train", "id_other").alias("id_b")).distinct()
 
 
+def p3_links(spark, sf_dir):
+    """Every message of a split with the class of its words and the number of messages across the splits it is linked with."""
+    return overlap.links(*_cross_split(spark, sf_dir)).withColumnRenamed("key", "message_id")
+
+
 def p3_counts(spark, sf_dir):
     """Per split and domain: messages, those that stand in train, and pairs with train."""
     pairs = overlap.member_pairs(*_cross_split(spark, sf_dir)).distinct()
@@ -159,7 +164,7 @@ def p10_coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_canonical, p3_found, p3_counts, p4_found, p4_unmatched, p5_found, p5_posts, p7_splits, p7_balance,
+        p1_found, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p5_found, p5_posts, p7_splits, p7_balance,
         p8_ids, p8_lengths, p9_mix, p9_shares, p9_shares_full, p10_found, p10_links, p10_passages, p10_stretches, p10_coverage,
     )
 }

@@ -1,9 +1,10 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from chatterloom.llm import canonical_list, copies, lookalike, mixture, overlap, queries, related_splits, spans, tokens
+from chatterloom.llm import canonical_list, copies, lookalike, mixture, overlap, queries, related_splits, tokens
 
 EXTRA = ", id string, rep string, n int, h int, label string, source int, class int"
 JUNK = ("z", "z", 0, 0, "z", 0, 0)
@@ -101,17 +102,44 @@ def test_words_ignore_case_and_script():
     assert overlap.words_of("a_b-c\u200bd 12,5") == ["a", "b", "cd", "12", "5"]
 
 
-def test_three_word_lists_find_what_two_find():
+def test_lists_meet_and_stop_by_the_bounds():
     import numpy as np
 
     rnd = np.random.default_rng(1)
-    flat = rnd.integers(0, 30, 200).astype(np.int32)
-    lengths = np.full(10, 20)
+    table = rnd.integers(0, 140, 1 << 10).astype(np.uint8)
+    flat = rnd.integers(0, 60, 240).astype(np.int32)
+    lengths = np.full(12, 20)
     flat[20:40] = flat[:20]
-    flat[25] = 77
-    for k in (2, 3):
-        rows, keys, _ = overlap.list_keys(lengths, flat, np.ones(1 << 17, np.int64), 0.85, k)
-        assert set(keys[rows == 0]) & set(keys[rows == 1])
+    flat[[25, 31, 38]] = [77, 78, 79]
+    x = overlap._Ordered(lengths, flat, table, 0.85)
+    assert np.all(np.diff(x.mass.reshape(12, 20)) <= 0) and np.allclose(x.need, np.sort(x.mass.reshape(12, 20))[:, :17].sum(1))
+    for k in (1, 2, 3):
+        rows, keys, infos = overlap.list_keys(lengths, flat, table, 0.85, k)
+        assert set(keys[rows == 0]) & set(keys[rows == 1]) and np.all(infos > 0)
+        for i, m in enumerate(x.mass.reshape(12, 20)):
+            p = min(p for p in range(21) if m[: k - 1].sum() + m[p:].sum() < x.need[i] - 1e-9)
+            assert (rows == i).sum() == math.comb(p, k)
+
+
+def test_bound_and_need_decide():
+    import numpy as np
+    import pyarrow as pa
+
+    table = np.zeros(1 << 10, np.uint8)
+    table[:8] = 255
+    common = list(range(8, 25))
+    a, b, c = common + [900, 901, 902], common + [0, 1, 2], list(range(8, 22)) + [0, 1, 2, 3, 4, 5]
+    got = overlap.similar(pa.array([a, a], pa.list_(pa.int32())), pa.array([b, c], pa.list_(pa.int32())), table, 0.85)
+    assert got.tolist() == [True, False]
+    assert overlap.masses(np.array([0, 255])).tolist() == [1.0, 1 - 255 / 768] and overlap.masses(np.array([255]))[0] > 2 / 3
+
+
+def test_links(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text), (2, text.upper()), (3, text + " eleven"), (4, "quite another text with more than eight words in it"), (5, text)], "k long, t string")
+    split = spark.createDataFrame([(1, "train"), (2, "val"), (3, "test"), (4, "test"), (5, "train")], "k long, s string")
+    got = {r.key: (r.class_id, r.n_links) for r in overlap.links(*overlap.cross_split(df, split, "k", "t", "s")).collect()}
+    assert got == {1: (1, 2), 5: (1, 2), 2: (1, 2), 3: (3, 2), 4: (4, 0)}
 
 
 # p4
