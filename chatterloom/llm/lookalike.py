@@ -5,12 +5,14 @@ look-alikes of other scripts, nothing for what is invisible, one blank for every
 accents and visible marks stay, and each blank stays one blank.
 
 canonical_texts() is the corpus operator. The vocabulary is every token of the corpus that is already
-ordinary (one script, composed, nothing invisible). Tokens that are not, or that read as plain letters
-throughout, walk a trie of the vocabulary with an edit automaton in which look-alikes and ignorables
-cost nothing; the canonical spelling is a vocabulary token at cost zero, the form in plain letters
-first, then the most frequent. Tokens that reach none take the form of the table. The tries are sharded
-by the token's plain form, so no vocabulary has to fit one task; all tokens that can reach each other at
-cost zero share it.
+ordinary (one script, composed, nothing invisible); it is kept in tries whose edges are its characters as
+they stand. Tokens that are not ordinary, or that read as plain letters throughout, go through a trie as
+typed with a weighted edit automaton: an edge that looks like the character read costs nothing, neither
+does reading past an ignorable or reading a joined form as its letters; any other edit costs 1. Texts that
+look the same are asked for, so the corpus run allows no cost: the canonical spelling is a vocabulary token
+reached at cost zero, the form in plain letters first, then the most frequent. Tokens that reach none take
+the form of the table. The tries are sharded by a hash of the plain form, which tokens that look the same
+share, and there are as many shards as keep each below a fixed number of words.
 """
 
 from __future__ import annotations
@@ -147,40 +149,66 @@ def ordinary(token: str, plain_token: str) -> bool:
     )
 
 
+def units(token: str) -> list[tuple[str, str | None]]:
+    """Decomposed characters of token as typed, each with the plain characters it looks like, None if it does not show."""
+    if "\u200D" in token:
+        token = JOINED_EMOJI.sub(JOINER, token)
+    chars = unicodedata.normalize("NFD", token)
+    if any(TABLE[ord(c)] is None and unicodedata.combining(d) for c, d in zip(chars, chars[1:])):
+        # an ignorable between a letter and its marks would keep the marks out of order
+        chars = unicodedata.normalize("NFD", "".join(c for c, d in zip(chars, [*chars[1:], ""]) if not (TABLE[ord(c)] is None and d and unicodedata.combining(d))))
+    return [(c, None if (p := TABLE[ord(c)]) is None else unicodedata.normalize("NFD", p)) for c in chars]
+
+
 class Trie:
-    """Vocabulary trie whose edges are plain characters; node: {char: node}, words at key None."""
+    """Vocabulary trie whose edges are characters as they stand in the words; node: {char: node}, words at key None."""
 
     def __init__(self, words: Iterable[str]):
         self.root: dict = {}
+        self.alike: dict[str, list[str]] = {}  # edges by the plain characters they look like
         for w in words:
             node = self.root
-            for c in plain(w):
+            for c, p in units(w):
+                if p is None:
+                    continue
+                if c not in (same := self.alike.setdefault(p, [])):
+                    same.append(c)
                 node = node.setdefault(c, {})
             node.setdefault(None, []).append(w)
 
     def near(self, token: str, most: int = 0) -> Iterator[tuple[int, str]]:
         """(cost, word) of the vocabulary words within cost most of token.
 
-        Reading a look-alike as its plain character and skipping an ignorable cost 0; any other
-        insertion, deletion or substitution costs 1. A word may come more than once.
+        Taking an edge that looks like the character read, passing an ignorable and reading a joined form
+        as its letters cost 0; any other insertion, deletion or substitution costs 1. A word may come more
+        than once.
         """
-        units = plain(token)
-        todo = [(self.root, 0, 0)]
+        read = units(token)
+        todo = [(self.root, 0, "", 0)]  # node, characters read, what is left of a joined form, cost
         while todo:
-            node, i, cost = todo.pop()
-            if i == len(units):
-                for w in node.get(None, ()):
-                    yield cost, w
-            elif (step := node.get(units[i])) is not None:
-                todo.append((step, i + 1, cost))
+            node, i, rest, cost = todo.pop()
+            if not rest:
+                while i < len(read) and read[i][1] is None:
+                    i += 1
+                if i == len(read):
+                    for w in node.get(None, ()):
+                        yield cost, w
+                else:
+                    rest, i = read[i][1], i + 1
+            if rest:
+                # the whole form as one edge of the same look, or its first letter
+                for part in {rest, rest[0]}:
+                    for c in self.alike.get(part, ()):
+                        if (step := node.get(c)) is not None:
+                            todo.append((step, i, rest[len(part) :], cost))
             if cost < most:
-                if i < len(units):
-                    todo.append((node, i + 1, cost + 1))
+                if rest:
+                    todo.append((node, i, rest[1:], cost + 1))
                 for c, step in node.items():
                     if c is not None:
-                        todo.append((step, i, cost + 1))
-                        if i < len(units) and c != units[i]:
-                            todo.append((step, i + 1, cost + 1))
+                        todo.append((step, i, rest, cost + 1))
+                        if rest and c not in self.alike.get(rest[0], ()):
+                            todo.append((step, i, rest[1:], cost + 1))
 
 
 def digest(text: str) -> bytes:
@@ -188,6 +216,7 @@ def digest(text: str) -> bytes:
 
 
 FLUSH = 400_000
+SHARD_WORDS = 100_000
 _SCAN = "kind int, fld string, id bigint, raw binary, canon binary, text string, need array<string>, token string, plain string, ordinary boolean, n bigint"
 
 
@@ -205,7 +234,7 @@ def _scan(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pd.DataFram
 
     for batch in batches:
         out = []
-        for fld, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for fld, key, text, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if text is None:
                 continue
             words = BLANK.split(text)
@@ -222,7 +251,6 @@ def _scan(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pd.DataFram
                     if not good or p != w and p.isascii():
                         need.append(w)
                 form = None if need else respell(text, {})
-            raw = digest(text)
             out.append((0, fld, key, raw, None if form is None else digest(form.strip(" \n")), text if form is None else (form.strip(" \n") if keep else None), need or None, None, None, None, None))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _ARROW)], schema=_ARROW)
@@ -254,28 +282,28 @@ def _match(asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     count = dict(zip(words["word"], words["seen"]))
     out = []
     for token, form in zip(asked["token"], asked["plain"]):
-        best = min((w for cost, w in trie.near(token) if cost == 0), key=lambda w: (w != form, -count[w], w), default=form)
+        best = min((w for _, w in trie.near(token)), key=lambda w: (w != form, -count[w], w), default=form)
         if best != token:
             out.append((token, best))
     return pd.DataFrame(out, columns=["token", "spelling"])
 
 
 def canonical_texts(df: DataFrame, fld: str, key: str, text: str, keep: bool = False) -> DataFrame:
-    """fld, id, raw (digest of the text), canon (digest of its canonical form) and, if keep, canonical_text.
+    """fld, id, raw (MD5 of the text), canon (digest of its canonical form) and, if keep, canonical_text.
 
     fld: column that names the text's field, passed through. key: bigint column, passed through as id; it
     need not be unique if fld and key together with repeated rows have equal texts. Null texts are left
     out; empty, blank and invisible texts have the canonical form ''. Blanks at the ends do not show and
     are dropped.
     """
-    slim = df.select(F.col(fld).alias("fld"), F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    slim = df.select(F.col(fld).alias("fld"), F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).withColumn("raw", F.unhex(F.md5("text")))
     scan = stage(slim.mapInArrow(lambda b: _scan(b, keep), _SCAN), "lookalike", by="kind")
     rows = scan.where("kind = 0").select("fld", "id", "raw", "canon", "text", "need")
-    tokens = scan.where("kind = 1").groupBy("token", "plain", "ordinary").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("plain"))
-    asked = tokens.where("not ordinary or (plain <> token and plain rlike '^[\\\\x00-\\\\x7F]*$')").select("h", "token", "plain")
-    words = tokens.where("ordinary").join(asked.select("h").distinct(), "h", "left_semi").select("h", F.col("token").alias("word"), F.col("n").alias("seen"))
-    shards = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.pmod(F.col("h"), F.lit(shards)).alias("shard")
+    tokens = stage(scan.where("kind = 1").groupBy("token", "plain", "ordinary").agg(F.sum("n").alias("n")), "tokens")
+    asked = tokens.where("not ordinary or (plain <> token and plain rlike '^[\\\\x00-\\\\x7F]*$')")
+    words = tokens.where("ordinary").select("plain", F.col("token").alias("word"), F.col("n").alias("seen"))
+    shards = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens.count() // SHARD_WORDS)
+    shard = F.pmod(F.xxhash64("plain"), F.lit(shards)).alias("shard")
     spelling = (
         asked.select(shard, F.col("token").alias("token"), F.col("plain").alias("plain")).groupBy("shard")
         .cogroup(words.select(shard, "word", "seen").groupBy("shard"))
@@ -301,37 +329,38 @@ def canonical_texts(df: DataFrame, fld: str, key: str, text: str, keep: bool = F
     return out if keep else out.drop("canonical_text")
 
 
-def like_listed(df: DataFrame, text: str, listed: Iterable[str]) -> DataFrame:
-    """Rows of df whose text may look like one of listed in other characters: equal plain forms, unequal characters.
-
-    Equal canonical forms have equal plain forms, so no look-alike is lost. listed: a list of fixed size. Null
-    texts are left out.
-    """
-    by_form: dict[str, set[str]] = {}
-    for t in listed:
-        if t is not None:
-            by_form.setdefault(plain(t).strip(" \n"), set()).add(t)
-    at = df.columns.index(text)
-
-    def run(batches):
-        for batch in batches:
-            keep = [t is not None and any(x != t for x in by_form.get(plain(t).strip(" \n"), ())) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
-
-
 EMPTY = digest("")
 
 
 def same_look_pairs(texts: DataFrame) -> DataFrame:
     """Pairs of ids (id_a < id_b) whose texts have one canonical form and different characters.
 
-    texts: result of canonical_texts on one field. Texts with nothing visible make no pair. Only groups
-    that hold at least two different texts are joined with themselves.
+    texts: result of canonical_texts on one field. Texts with nothing visible make no pair. Different texts
+    of one form are paired first, each once; their ids are joined to these pairs, so a text with very many
+    copies meets no other copy of itself.
     """
-    texts = stage(texts.where(F.col("canon") != F.lit(EMPTY)).select("id", "raw", "canon"), "canon")
-    mixed = texts.groupBy("canon").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("canon")
-    some = stage(texts.join(mixed, "canon"), "mixed")
-    a, b = some.toDF("canon", "id_a", "raw_a"), some.toDF("canon", "id_b", "raw_b")
-    return a.join(b, "canon").where("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b").distinct()
+    classes, members = _look_classes(texts)
+    lo, hi = classes.toDF("canon", "raw_a"), classes.toDF("canon", "raw_b")
+    pairs = lo.join(hi, "canon").where("raw_a < raw_b").select("raw_a", "raw_b")
+    ids = members.select("id", "raw").distinct()
+    out = pairs.join(ids.toDF("i", "raw_a"), "raw_a").join(ids.toDF("j", "raw_b"), "raw_b").where("i <> j")
+    return out.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
+
+
+def _look_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Canonical forms that more than one text has, with these texts (canon, raw), and the ids of the texts (id, raw, canon)."""
+    shown = stage(texts.where(F.col("canon") != F.lit(EMPTY)).select("id", "raw", "canon"), "canon")
+    forms = shown.groupBy("canon", "raw").agg(F.lit(1).alias("one")).drop("one")
+    mixed = shown.groupBy("canon").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("canon")
+    classes = stage(forms.join(mixed, "canon").select("canon", "raw"), "look-classes")
+    return classes, shown.join(classes.select("raw"), "raw", "left_semi")
+
+
+def look_links(texts: DataFrame) -> DataFrame:
+    """id, class_id (hex of the form's digest) and n_links of every id whose text looks like another one's: the ids it makes a pair with."""
+    _, members = _look_classes(texts)
+    members = members.distinct()
+    per_raw = members.groupBy("canon", "raw").agg(F.count("*").alias("n"))
+    whole = per_raw.groupBy("canon").agg(F.sum("n").alias("all"))
+    counted = per_raw.join(whole, "canon").select("raw", (F.col("all") - F.col("n")).alias("n_links"))
+    return members.join(counted, "raw").select("id", F.hex("canon").alias("class_id"), "n_links")

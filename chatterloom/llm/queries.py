@@ -17,23 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _messages(spark, sf_dir):
+    return table(spark, sf_dir, MEGA).select(F.lit("message").alias("fld"), F.col("message_id").alias("id"), F.col("message").alias("text"))
+
+
 def p1_found(spark, sf_dir):
     """Messages that look the same, and claim_types values that look like a label, in other characters."""
-    messages = table(spark, sf_dir, MEGA).select(F.lit("message").alias("fld"), F.col("message_id").alias("id"), F.col("message").alias("text"))
     labels = table(spark, sf_dir, "codebook_labels").where("tag_field = 'claim_types'").select(F.lit("label").alias("fld"), F.col("label_id").cast("bigint").alias("id"), F.col("label").alias("text"))
-    values = unpack(table(spark, sf_dir, MEGA), ["message_id"], ["claim_types"]).select(F.lit("value").alias("fld"), F.col("message_id").alias("id"), F.col("tag_value").alias("text"))
-    values = lookalike.like_listed(values, "text", [r.text for r in labels.select("text").collect()])
-    texts = stage(lookalike.canonical_texts(messages.unionByName(values).unionByName(labels), "fld", "id", "text"), "forms", by="fld")
+    typed = unpack(table(spark, sf_dir, MEGA), ["message_id"], ["claim_types"]).select("message_id", "tag_value")
+    values = typed.groupBy(F.col("tag_value").alias("text")).agg(F.min("message_id").alias("id")).select(F.lit("value").alias("fld"), "id", "text")
+    texts = stage(lookalike.canonical_texts(_messages(spark, sf_dir).unionByName(values).unionByName(labels), "fld", "id", "text"), "forms", by="fld")
     alike = lookalike.same_look_pairs(texts.where("fld = 'message'")).select(F.lit("message").alias("fld"), "id_a", "id_b")
     label = texts.where("fld = 'label'").select(F.col("id").alias("id_a"), F.col("raw").alias("raw_a"), "canon")
-    value = texts.where("fld = 'value'").select(F.col("id").alias("id_b"), F.col("raw").alias("raw_b"), "canon")
-    typed = value.join(label, "canon").where("raw_a <> raw_b").select(F.lit("claim_types").alias("fld"), "id_a", "id_b").distinct()
-    return alike.unionByName(typed)
+    value = texts.where("fld = 'value'").select("raw", "canon").join(label, "canon").where("raw_a <> raw").select("raw", "id_a").distinct()
+    found = typed.withColumn("raw", F.unhex(F.md5("tag_value"))).join(value, "raw").select(F.lit("claim_types").alias("fld"), "id_a", F.col("message_id").alias("id_b")).distinct()
+    return alike.unionByName(found)
+
+
+def p1_links(spark, sf_dir):
+    """Every message that looks like one in other characters, with its class and the number of such messages."""
+    texts = lookalike.canonical_texts(_messages(spark, sf_dir), "fld", "id", "text")
+    return lookalike.look_links(texts).withColumnRenamed("id", "message_id")
 
 
 def p1_canonical(spark, sf_dir):
     """Every message in its canonical form; null messages stay null."""
-    messages = table(spark, sf_dir, MEGA).select(F.lit("message").alias("fld"), F.col("message_id").alias("id"), F.col("message").alias("text"))
+    messages = _messages(spark, sf_dir)
     forms = lookalike.canonical_texts(messages, "fld", "id", "text", keep=True).select(F.col("id").alias("message_id"), F.col("canonical_text").alias("message"))
     empty = messages.where("text is null").select(F.col("id").alias("message_id"), F.col("text").alias("message"))
     return forms.unionByName(empty)
@@ -164,7 +173,7 @@ def p10_coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p5_found, p5_posts, p7_splits, p7_balance,
+        p1_found, p1_links, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p5_found, p5_posts, p7_splits, p7_balance,
         p8_ids, p8_lengths, p9_mix, p9_shares, p9_shares_full, p10_found, p10_links, p10_passages, p10_stretches, p10_coverage,
     )
 }

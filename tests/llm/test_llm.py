@@ -1,6 +1,8 @@
 import math
 import random
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,9 +34,37 @@ def test_plain(a, b, same):
 
 
 def test_trie_costs():
-    trie = lookalike.Trie(["cat", "cart"])
-    assert {w for c, w in trie.near("сa​t") if c == 0} == {"cat"}
+    trie = lookalike.Trie(["cat", "cart", "утро", "fix", "\u00e9t\u00e9"])
+    assert {w for c, w in trie.near("сa​t")} == {"cat"}
+    assert [*trie.near("утрo")] == [(0, "утро")] and [*trie.near("\ufb01x")] == [(0, "fix")] and [*trie.near("e\u200b\u0301t\u00e9")] == [(0, "\u00e9t\u00e9")]
     assert ("cart" in {w for c, w in trie.near("сat", 1)}) and min(c for c, w in trie.near("сat", 1) if w == "cart") == 1
+    assert min(c for c, w in trie.near("fox", 1)) == 1 and not [*trie.near("fox")]
+
+
+def test_spelling_comes_from_the_trie(monkeypatch):
+    asked = pd.DataFrame({"token": ["утрo", "\uff43at", "zу"], "plain": [lookalike.plain(x) for x in ("утрo", "\uff43at", "zу")]})
+    words = pd.DataFrame({"word": ["утро", "cat", "саt"], "seen": [5, 1, 9]})
+    got = lookalike._match(asked, words)
+    assert dict(zip(got["token"], got["spelling"])) == {"утрo": "утро", "\uff43at": "cat", "zу": "zy"}
+    monkeypatch.setattr(lookalike.Trie, "near", lambda *_: iter(()))
+    assert "утро" not in set(lookalike._match(asked, words)["spelling"])
+
+
+def test_trie_agrees_with_table():
+    rnd = random.Random(8)
+    chars = ["a", "а", "é", "e", "\u0301", "\u0323", "\u200b", "ﬁ", "f", "i", "ｆ", "у", "y", "ß", "ǆ", "中", "가", "Å", "A"]
+    words = {unicodedata.normalize("NFC", "".join(rnd.choice(chars) for _ in range(rnd.randint(1, 4)))) for _ in range(400)}
+    words = [w for w in words if lookalike.ordinary(w, lookalike.plain(w))]
+    trie = lookalike.Trie(words)
+    for _ in range(500):
+        token = "".join(rnd.choice(chars) for _ in range(rnd.randint(1, 5)))
+        assert {w for _, w in trie.near(token)} == {w for w in words if lookalike.plain(w) == lookalike.plain(token)}, token
+
+
+def test_look_links(spark):
+    texts = ["new cat", "new сat", "new cаt", "New cat", None, "", "new cat"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string").withColumn("fld", F.lit("f"))
+    assert {r.id: r.n_links for r in lookalike.look_links(lookalike.canonical_texts(df, "fld", "k", "t")).collect()} == {0: 2, 6: 2, 1: 3, 2: 3}
 
 
 def test_same_look(spark):
