@@ -93,7 +93,12 @@ def p4_found(spark, sf_dir):
 
 
 def p4_unmatched(spark, sf_dir):
-    """Per field: messages with a value that means no label of the field."""
+    """Every value that means no label of its field, with its number of occurrences."""
+    return canonical_list.unmatched(unpack(table(spark, sf_dir, MEGA), ["message_id"], TAG_FIELDS), table(spark, sf_dir, "codebook_labels"))
+
+
+def p4_fields(spark, sf_dir):
+    """Per field: messages with a value that means no label of the field, and rows of p4_found."""
     return p4_found(spark, sf_dir).groupBy("tag_field").agg(F.count_if(F.col("label_id") == 0).alias("n_unmatched"), F.count("*").alias("n_mapped"))
 
 
@@ -173,7 +178,7 @@ def p10_coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_links, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p5_found, p5_posts, p7_splits, p7_balance,
+        p1_found, p1_links, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p4_fields, p5_found, p5_posts, p7_splits, p7_balance,
         p8_ids, p8_lengths, p9_mix, p9_shares, p9_shares_full, p10_found, p10_links, p10_passages, p10_stretches, p10_coverage,
     )
 }

@@ -186,6 +186,64 @@ def test_mapping(spark):
     assert canonical_list.map_to_list(df, ref.limit(0), ["k"]).where("label_id <> 0").count() == 0
 
 
+def test_token_join_against_all_pairs(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.choice([2, 4, 7, 11, 23, 24, 25, 26, 40]))) for _ in range(60)]
+
+    def typo(w):
+        w = list(w)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(w))
+            kind = rnd.randrange(4)
+            if kind == 0 and len(w) > 2:
+                del w[at]
+            elif kind == 1:
+                w.insert(at, rnd.choice("abcd"))
+            elif kind == 2:
+                w[at] = rnd.choice("abcd")
+            elif at:
+                w[at - 1], w[at] = w[at], w[at - 1]
+        return "".join(w)
+
+    tokens = {typo(w) for w in words for _ in range(5)} | {w[: rnd.randint(1, len(w))] for w in words}
+    longest = max(map(len, words))
+    got = canonical_list._joined_by_keys(
+        spark.createDataFrame([("f", t) for t in tokens], "tag_field string, token string"), spark.createDataFrame([("f", w) for w in set(words)] + [("g", "abc")], "tag_field string, word string"),
+        lambda t: canonical_list.token_keys(t, longest), canonical_list.word_keys, canonical_list.token_similarity,
+    )
+    want = {(t, w): s for t in tokens for w in set(words) if (s := canonical_list.token_similarity(t, w)) > 0}
+    # one edit of a token of two letters, and two of one of five, come from words that allow as many
+    loose = {p for p in want if allowed_only_by_longer(*p)}
+    assert {(r.token, r.word): r.sim for r in got.collect()} == {p: s for p, s in want.items() if p not in loose}
+
+
+def allowed_only_by_longer(token, word):
+    k = canonical_list.distance(token, word, 2)
+    few = k > min(canonical_list.allowed(len(token)), canonical_list.allowed(len(word)))
+    return few and not set(canonical_list.token_keys(token, 40)) & canonical_list.word_keys(word)
+
+
+def test_run_join_against_all_pairs():
+    rnd = random.Random(7)
+    wholes = ["".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (3, 5, 9, 12, 15, 21, 30)]
+    lengths = sorted({len(w) for w in wholes})
+    for w in wholes:
+        for _ in range(60):
+            run = list(w[: rnd.choice([len(w), len(w), max(1, len(w) - rnd.randrange(len(w)))])])
+            for _ in range(rnd.randint(0, max(1, len(w) // 5))):
+                at = rnd.randrange(len(run))
+                run[at : at + rnd.randint(0, 1)] = rnd.choice(["", "z", "q"])
+                run = run or ["z"]
+            run = "".join(run)
+            assert not canonical_list.run_similarity(run, w) or canonical_list.run_keys(run, lengths) & canonical_list.whole_keys(w), (run, w)
+
+
+def test_unmatched_values(spark):
+    ref = spark.createDataFrame([(1, "f", "Send money", None)], "label_id int, tag_field string, label string, aliases array<string>")
+    df = spark.createDataFrame([(1, "f", "pillow case"), (2, "f", "pillow case"), (3, "f", "send mony"), (4, "f", "??"), (5, "f", None), (6, "f", "Send money")], "k long, tag_field string, tag_value string")
+    assert {(r.tag_value, r.n) for r in canonical_list.unmatched(df, ref).collect()} == {("pillow case", 2), ("??", 1)}
+
+
 # p5
 
 
