@@ -273,6 +273,36 @@ def test_named_fields_in_any_order(spark, a, b, same):
     assert {tuple(r) for r in copies.copies(df, "k", ["c", "m"]).collect()} == ({(1, 2)} if same else set())
 
 
+def same_tree(a, b):
+    return bool({copies.form(x) for x in copies.readings(a)} & {copies.form(x) for x in copies.readings(b)})
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ('{"id": "7", "a": {"b": "1", "c": "2"}}', '{"a": {"c": 2, "b": 1}, "id": 7}', True), ('{"id": "7", "a": {"b": "1", "c": "2"}}', '{"id": "7", "a": {"b": "1"}, "c": "2"}', False),
+        ('{"id": 7, "a": [1, 2]}', '{"a": [1, 2], "id": 7}', True), ('{"id": 7, "a": [1, 2]}', '{"a": [2, 1], "id": 7}', False), ("id: 7; a: {b: 1; c: 2}", '{"A": {"C": "2", "B": "1"}, "ID": "7"}', True),
+        ("id: 7; a: {b: 1; c: 2}", "a: {c: 2, b: 1}\nid = 7", True), ("id: 7; a: {b: 1}; c: 2", "id: 7; a: {b: 1; c: 2}", False), ('{"id": 7, "p": 35.50}', '{"p": "35.50", "id": "7"}', True),
+    ],
+)
+def test_nested_records(spark, a, b, same):
+    assert same_tree(a, b) is same
+    for x in copies.readings(a):
+        for y in copies.readings(b):
+            assert (copies.digest(x) == copies.digest(y)) is (copies.form(x) == copies.form(y))
+    df = spark.createDataFrame([(1, "c", a), (2, "c", b)], "k long, c string, m string")
+    assert copies.copies(df, "k", ["c", "m"]).count() == int(same)
+
+
+def test_equal_digests_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(copies, "root", lambda nodes: (b"x", "".join(map(copies.form, nodes)).encode()))
+    df = spark.createDataFrame([(1, "c", "one"), (2, "c", "two"), (3, "c", "ONE")], "k long, c string, m string")
+    rows = copies.trees(df, "k", ["c", "m"]).collect()
+    assert {r.root for r in rows} == {b"x"}
+    monkeypatch.setattr(copies, "trees", lambda *_: spark.createDataFrame([(r.key, r.root, r.form, r.others) for r in rows], "key long, root binary, form binary, others array<struct<root:binary,form:binary>>"))
+    assert {tuple(r) for r in copies.copies(df, "k", ["c", "m"]).collect()} == {(1, 3)}
+
+
 def test_posts_close_over_both_readings(spark):
     df = spark.createDataFrame([(4, "c", "A: x; B: y"), (3, "c", "b: y; a: x"), (2, "c", "b y a x"), (1, "c", "a x b y")], "k long, c string, m string")
     assert {tuple(r) for r in copies.copies(df, "k", ["c", "m"]).collect()} == {(1, 2), (1, 3), (1, 4)}
