@@ -107,6 +107,13 @@ def p7_splits(spark, sf_dir):
     return related_splits.assign(table(spark, sf_dir, MEGA), "message_id", ["normalized_domain"], "risk_label").select("message_id", "split")
 
 
+def p7_components(spark, sf_dir):
+    """Rows and domains of every component of messages that share a domain or stand in one place (channel and msg_id)."""
+    mega = table(spark, sf_dir, MEGA).withColumn("place", F.concat("channel", F.lit("/"), "msg_id"))
+    rows = related_splits.related(mega, "message_id", ["normalized_domain", "place"]).join(mega.select(F.col("message_id").alias("row"), "normalized_domain"), "row")
+    return rows.groupBy(F.col("unit").alias("component")).agg(F.count("*").alias("n"), F.count_distinct(F.nullif("normalized_domain", F.lit(""))).alias("n_domains"))
+
+
 def p7_balance(spark, sf_dir):
     """Rows, share of rows, domains and share of risk_label 1 per split."""
     rows = related_splits.assign(table(spark, sf_dir, MEGA), "message_id", ["normalized_domain"], "risk_label").join(table(spark, sf_dir, MEGA).select("message_id", "normalized_domain", "risk_label"), "message_id")
@@ -135,6 +142,11 @@ def p9_mix(spark, sf_dir):
     return _mix(spark, sf_dir)[0]
 
 
+def p9_mix_full(spark, sf_dir):
+    """Documents of the mix with their copies, at the size of one epoch of all listed sources: small sources are clamped, the others take up their excess."""
+    return _mix(spark, sf_dir, "all")[0]
+
+
 def p9_shares(spark, sf_dir):
     """Per source the share it should have and has, at that size."""
     return _mix(spark, sf_dir)[1]
@@ -178,8 +190,8 @@ def p10_coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_links, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p4_fields, p5_found, p5_posts, p7_splits, p7_balance,
-        p8_ids, p8_lengths, p9_mix, p9_shares, p9_shares_full, p10_found, p10_links, p10_passages, p10_stretches, p10_coverage,
+        p1_found, p1_links, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p4_fields, p5_found, p5_posts, p7_splits, p7_components, p7_balance,
+        p8_ids, p8_lengths, p9_mix, p9_mix_full, p9_shares, p9_shares_full, p10_found, p10_links, p10_passages, p10_stretches, p10_coverage,
     )
 }
 ORACLE: dict[str, str] = {}

@@ -319,8 +319,51 @@ def test_components(spark):
 
 
 def test_subset_nearest():
-    assert sum([7, 5, 11][i] for i in related_splits.subset_nearest([7, 5, 11], 16)) == 16
-    assert related_splits.subset_nearest([], 5) == [] and related_splits.subset_nearest([9], 0) == []
+    assert related_splits.subset_nearest([(7, 1), (5, 1), (11, 1)], 16) == [0, 1, 1]
+    assert related_splits.subset_nearest([], 5) == [] and related_splits.subset_nearest([(9, 3)], 0) == [0]
+    rnd = random.Random(4)
+    for _ in range(200):
+        sizes = [(rnd.randint(1, 30), rnd.randint(1, 4)) for _ in range(rnd.randint(1, 6))]
+        target = rnd.randint(0, 120)
+        sums = {0}
+        for n, m in sizes:
+            sums = {x + n * i for x in sums for i in range(m + 1)}
+        taken = related_splits.subset_nearest(sizes, target)
+        assert all(0 <= t <= m for t, (_, m) in zip(taken, sizes))
+        assert abs(sum(t * n for t, (n, _) in zip(taken, sizes)) - target) == min(abs(x - target) for x in sums)
+
+
+def test_deal_hits_the_totals_in_two_steps(monkeypatch):
+    rnd = random.Random(5)
+    heads = [(n, rnd.randint(0, n)) for n in (rnd.randint(2000, 90_000) for _ in range(40))]
+    classes = [(n, p, rnd.randint(1, 60)) for n in range(1, 60) for p in {0, n // 2, n}]
+    fixed = [(70_123, 30_000), (11_001, 5_000), (19_007, 9_000)]
+    rows = sum(h[0] for h in heads) + sum(n * m for n, _, m in classes) + sum(f[0] for f in fixed)
+    for limit in (10**9, 100_000):
+        monkeypatch.setattr(related_splits, "BITSET_ROWS", limit)
+        home, dealt = related_splits.deal(heads, classes, (0.7, 0.1, 0.2), fixed)
+        assert all(sum(d) == m and min(d) >= 0 for d, (_, _, m) in zip(dealt, classes))
+        for s, share in enumerate((0.7, 0.1, 0.2)):
+            n, p = (fixed[s][at] + sum(h[at] for h, where in zip(heads, home) if where == s) + sum(c[at] * d[s] for c, d in zip(classes, dealt)) for at in (0, 1))
+            assert abs(n - share * rows) <= 2, (limit, s)
+
+
+def test_middling_components(spark, monkeypatch):
+    monkeypatch.setattr(related_splits, "SMALL_ROWS", 3)
+    monkeypatch.setattr(related_splits, "HEADS", 50)
+    sizes = [1] * 300 + [2] * 80 + [5, 6, 7, 8, 9] * 30 + [200, 90]
+    rows = [(f"d{i}", float(i % 2)) for i, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k long, d string, y double")
+    out = related_splits.assign(df, "k", ["d"], "y")
+    n = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert out.count() == len(rows) and all(abs(n[s] - share * len(rows)) <= 1 for s, share in (("train", 0.7), ("val", 0.1), ("test", 0.2)))
+    assert out.groupBy("component").agg(F.count_distinct("split").alias("s")).where("s > 1").count() == 0
+
+
+def test_splits_come_from_components(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 0.0)], "k long, d string, y double")
+    monkeypatch.setattr(related_splits, "components", lambda edges: edges.selectExpr("v as node", "'one' as root").distinct())
+    assert {r.component for r in related_splits.assign(df, "k", ["d"], "y").collect()} == {"one"}
 
 
 def test_assign(spark):
@@ -353,12 +396,22 @@ def test_encoding(spark):
 # p9
 
 
-def test_fill():
-    got = mixture.fill([("a", 0.5, 100, 1), ("b", 0.3, 1000, 2), ("c", 0.2, 0, 5)], 400)
-    assert got == {"a": 100.0, "b": 300.0, "c": 0.0}
-    got = mixture.fill([("a", 0.5, 100, 1), ("b", 0.5, 1000, 2)])
-    assert got == {"a": 100.0, "b": 100.0}
-    assert mixture.fill([]) == {} and mixture.fill([("a", 1.0, 10, 2)], 1e9) == {"a": 20.0}
+def fill(spark, sources, total=None):
+    df = spark.createDataFrame([(n, s, float(z * c)) for n, s, z, c in sources], "name string, share double, cap double")
+    return {r.name: r.planned for r in mixture.filled(df, total).collect()}
+
+
+def test_fill(spark):
+    assert fill(spark, [("a", 0.5, 100, 1), ("b", 0.3, 1000, 2), ("c", 0.2, 0, 5)], 400) == {"a": 100.0, "b": 300.0, "c": 0.0}
+    assert fill(spark, [("a", 0.5, 100, 1), ("b", 0.5, 1000, 2)]) == {"a": 100.0, "b": 100.0}
+    assert fill(spark, []) == {} and fill(spark, [("a", 1.0, 10, 2)], 1e9) == {"a": 20.0}
+    rnd = random.Random(3)
+    sources = [(f"s{i}", rnd.random(), rnd.randint(0, 1000), rnd.randint(0, 4)) for i in range(60)]
+    total = 0.6 * sum(z * c for _, s, z, c in sources)
+    got = fill(spark, sources, total)
+    open_ = [(got[n] / s) for n, s, z, c in sources if 0 < got[n] < z * c - 1e-9]
+    assert abs(sum(got.values()) - total) < 1e-6 and max(open_) - min(open_) < 1e-9 and all(got[n] <= z * c for n, _, z, c in sources)
+    assert all(z * c / s <= open_[0] + 1e-9 for n, s, z, c in sources if got[n] == z * c and z * c)
 
 
 def test_mix(spark):
