@@ -28,13 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[key]
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """Folder of the staged tables of this application."""
+    return f"{shared_dir(spark)}/chatterloom-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all staged tables of this application. Results that were not written or collected can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and return a scan of it: its lineage ends there.
 
+    It runs at once, and the table stays until release() or until the application's folder is deleted.
     by: a column to partition the table by, so that later filters on it read only their part.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -88,3 +88,14 @@ def test_noise_has_five_repetitions(spark, data):
 
     rows = modelling.noise_robustness(spark, data).collect()
     assert {(r.rate, r.rep) for r in rows} == {(x, i) for x in (0.0, 0.05, 0.1, 0.2) for i in range(5)}
+
+
+def test_release_deletes_staged_tables(spark):
+    import os
+
+    from chatterloom import session
+
+    staged = session.stage(spark.range(3).toDF("x"), "three")
+    assert staged.count() == 3 and os.path.isdir(session._own_dir(spark))
+    session.release(spark)
+    assert not os.path.exists(session._own_dir(spark))
