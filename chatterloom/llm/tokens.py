@@ -89,7 +89,7 @@ def _pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(head, kind), pa.array(tail, kind)], names=["id", "c", "head", "tail"])
 
-    marks = chunks.mapInArrow(scan, "id bigint, c int, head array<int>, tail array<int>")
+    marks = stage(chunks.mapInArrow(scan, "id bigint, c int, head array<int>, tail array<int>"), "marks")
     later = marks.select("id", (F.col("c") - 1).alias("c"), F.col("head").alias("next"))
     cuts = marks.join(later, ["id", "c"]).select("id", "c", F.array_min(F.array_intersect("tail", "next")).alias("cut"))
     good = cuts.groupBy("id").agg(F.min(F.when(F.col("cut").isNull(), F.col("c"))).alias("bad"), F.sort_array(F.collect_list(F.struct("c", "cut"))).alias("cuts"))
