@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from chatterloom.functions.text import has_url, parse_date, split_multi, week_label
 
 TAGS = ("theme", "claim_types", "ctas", "evidence")
+# quantiles between two scores of six digits have up to eight; at six they would often stand on a tie
+MEDIAN_DIGITS = 8
 
 
 def _all():
@@ -50,7 +52,7 @@ def tag_table(base: DataFrame, field: str) -> DataFrame:
         F.count("*").alias("n"), F.avg("p").alias("mean"), F.median("p").alias("median"), F.sum("p").alias("mass"), F.avg("is_high_tail").alias("tail_rate")
     )
     t = t.withColumn("msg_share", F.col("n") / F.sum("n").over(_all())).withColumn("mass_share", F.col("mass") / F.sum("mass").over(_all())).crossJoin(rate)
-    return t.select("tag", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "mass", "tail_rate", "msg_share", "mass_share")], F.round(F.col("tail_rate") / F.nullif(F.col("base_rate"), F.lit(0)), 6).alias("lift"))
+    return t.select("tag", "n", *[F.round(c, MEDIAN_DIGITS if c == "median" else 6).alias(c) for c in ("mean", "median", "mass", "tail_rate", "msg_share", "mass_share")], F.round(F.col("tail_rate") / F.nullif(F.col("base_rate"), F.lit(0)), 6).alias("lift"))
 
 
 def period_shares(base: DataFrame, period: str, field: str, top: int | None = None, by_mass: bool = False) -> DataFrame:
@@ -128,7 +130,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 def prototypes(base: DataFrame) -> DataFrame:
     t = base.groupBy("theme", "prototype").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.median("p").alias("median"), F.sum("p").alias("mass"), F.avg("is_high_tail").alias("tail_rate"))
-    return t.withColumn("theme_share", F.col("n") / F.sum("n").over(Window.partitionBy("theme"))).select("theme", "prototype", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "mass", "tail_rate", "theme_share")])
+    return t.withColumn("theme_share", F.col("n") / F.sum("n").over(Window.partitionBy("theme"))).select("theme", "prototype", "n", *[F.round(c, MEDIAN_DIGITS if c == "median" else 6).alias(c) for c in ("mean", "median", "mass", "tail_rate", "theme_share")])
 
 
 def burstiness(base: DataFrame, period: str, field: str) -> DataFrame:

@@ -70,7 +70,7 @@ def high_tail_flag(spark, sf_dir):
 
 
 def _tag_table_sql(source):
-    return f"""SELECT tag, count(*) AS n, round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(sum(p), 6) AS mass, round(avg(is_high_tail), 6) AS tail_rate,
+    return f"""SELECT tag, count(*) AS n, round(avg(p), 6) AS mean, round(median(p), 8) AS median, round(sum(p), 6) AS mass, round(avg(is_high_tail), 6) AS tail_rate,
         round(count(*) / sum(count(*)) OVER (), 6) AS msg_share, round(sum(p) / sum(sum(p)) OVER (), 6) AS mass_share,
         round(avg(is_high_tail) / nullif((SELECT avg(is_high_tail) FROM tail), 0), 6) AS lift FROM {source} GROUP BY tag"""
 
@@ -156,7 +156,7 @@ def prototype_coverage(spark, sf_dir):
     return D.coverage(base(spark, sf_dir), "prototype")
 
 
-PROTO = """proto AS (SELECT theme, prototype, count(*) AS n, round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(sum(p), 6) AS mass, round(avg(is_high_tail), 6) AS tail_rate,
+PROTO = """proto AS (SELECT theme, prototype, count(*) AS n, round(avg(p), 6) AS mean, round(median(p), 8) AS median, round(sum(p), 6) AS mass, round(avg(is_high_tail), 6) AS tail_rate,
     round(count(*) / sum(count(*)) OVER (PARTITION BY theme), 6) AS theme_share FROM tail GROUP BY theme, prototype)"""
 
 
@@ -235,11 +235,11 @@ def multi_grain_counts(spark, sf_dir):
 
 
 @query(f"""WITH {BASE}, c AS (SELECT channel, avg(p) AS r, count(*) AS n FROM base GROUP BY channel), k AS (SELECT channel, theme FROM base GROUP BY channel, theme QUALIFY row_number() OVER (PARTITION BY channel ORDER BY count(*) DESC, theme) = 1)
-    SELECT theme AS community, count(*) AS n_channels, round(quantile_cont(r, 0.25), 6) AS q1, round(quantile_cont(r, 0.5), 6) AS q2, round(quantile_cont(r, 0.75), 6) AS q3 FROM c JOIN k USING (channel) GROUP BY theme""")
+    SELECT theme AS community, count(*) AS n_channels, round(quantile_cont(r, 0.25), 8) AS q1, round(quantile_cont(r, 0.5), 8) AS q2, round(quantile_cont(r, 0.75), 8) AS q3 FROM c JOIN k USING (channel) GROUP BY theme""")
 def community_risk(spark, sf_dir):
     """Channels grouped by their leading theme; quartiles of mean risk."""
     b = base(spark, sf_dir)
     r = b.groupBy("channel").agg(F.avg("p").alias("r"))
     k = D.top_per_group(b.groupBy("channel", "theme").count(), ["channel"], [F.desc("count"), F.col("theme")], 1).select("channel", F.col("theme").alias("community"))
     q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return r.join(k, "channel").groupBy("community").agg(F.count("*").alias("n_channels"), q.alias("q")).select("community", "n_channels", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+    return r.join(k, "channel").groupBy("community").agg(F.count("*").alias("n_channels"), q.alias("q")).select("community", "n_channels", *[F.round(F.col("q")[i], D.MEDIAN_DIGITS).alias(f"q{i + 1}") for i in range(3)])

@@ -5,7 +5,7 @@ from collections import Counter
 
 def plain(v):
     if isinstance(v, float):
-        return None if v != v else round(v, 5) + 0.0
+        return None if v != v else round(v, 9) + 0.0
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
