@@ -107,6 +107,15 @@ def p7_splits(spark, sf_dir):
     return related_splits.assign(table(spark, sf_dir, MEGA), "message_id", ["normalized_domain"], "risk_label").select("message_id", "split")
 
 
+def p7_totals(spark, sf_dir):
+    """Rows of all splits, how far each is from its share, and domains that stand in two splits."""
+    rows = p7_splits(spark, sf_dir).join(table(spark, sf_dir, MEGA).select("message_id", F.nullif("normalized_domain", F.lit("")).alias("d")), "message_id")
+    n = rows.agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")], F.count("*").alias("n_messages"), F.count_distinct("d").alias("n_domains"))
+    in_splits = rows.where("d is not null").select("d", "split").distinct().agg(F.count("*").alias("n_in_splits"))
+    off = [F.abs(F.col(s) - F.lit(share) * F.col("n_messages")) <= 1 for s, share in (("train", 0.7), ("val", 0.1), ("test", 0.2))]
+    return n.crossJoin(F.broadcast(in_splits)).select("n_messages", "n_domains", "n_in_splits", *[o.alias(f"{s}_is_met") for o, s in zip(off, ("train", "val", "test"))])
+
+
 def p7_components(spark, sf_dir):
     """Rows and domains of every component of messages that share a domain or stand in one place (channel and msg_id)."""
     mega = table(spark, sf_dir, MEGA).withColumn("place", F.concat("channel", F.lit("/"), "msg_id"))
@@ -126,6 +135,11 @@ def p8_ids(spark, sf_dir):
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_round_trip(spark, sf_dir):
+    """MD5 of every document's text as decoded from its ids; null texts come back empty."""
+    return tokens.decode(p8_ids(spark, sf_dir), "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p8_lengths(spark, sf_dir):
     """Tokens of every document."""
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text", count_only=True)
@@ -190,8 +204,23 @@ def p10_coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_links, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p4_fields, p5_found, p5_posts, p7_splits, p7_components, p7_balance,
-        p8_ids, p8_lengths, p9_mix, p9_mix_full, p9_shares, p9_shares_full, p10_found, p10_links, p10_passages, p10_stretches, p10_coverage,
+        p1_found, p1_links, p1_canonical, p3_found, p3_links, p3_counts, p4_found, p4_unmatched, p4_fields, p5_found, p5_posts, p7_splits, p7_totals, p7_components, p7_balance,
+        p8_ids, p8_round_trip, p8_lengths, p9_mix, p9_mix_full, p9_shares, p9_shares_full, p10_found, p10_links, p10_passages, p10_stretches, p10_coverage,
     )
 }
-ORACLE: dict[str, str] = {}
+_GRAMS = "g AS (SELECT doc_id, i, hash(substr(text, i, 100)) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100))"
+
+ORACLE: dict[str, str] = {
+    "p7_totals": f"""
+        SELECT count(*) AS n_messages, count(DISTINCT nullif(normalized_domain, '')) AS n_domains, count(DISTINCT nullif(normalized_domain, '')) AS n_in_splits,
+               true AS train_is_met, true AS val_is_met, true AS test_is_met FROM {MEGA}""",
+    "p8_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+    "p10_found": f"""
+        WITH {_GRAMS}, d AS (SELECT DISTINCT doc_id, gram FROM g), k AS (SELECT gram FROM d GROUP BY gram HAVING count(*) > 1), e AS (SELECT d.* FROM d JOIN k USING (gram))
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM e a JOIN e b USING (gram) WHERE a.doc_id < b.doc_id""",
+    "p10_coverage": f"""
+        WITH {_GRAMS}, k AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1), s AS (SELECT doc_id, i FROM g JOIN k USING (gram)),
+        c AS (SELECT doc_id, sum(w) AS shared_chars FROM (SELECT doc_id, least(100, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 100)) AS w FROM s) GROUP BY doc_id)
+        SELECT doc_id, cast(length(text) AS bigint) AS n_chars, cast(coalesce(shared_chars, 0) AS bigint) AS shared_chars, round(coalesce(shared_chars, 0) / nullif(length(text), 0), 6) AS shared_share
+        FROM documents LEFT JOIN c USING (doc_id)""",
+}  # whole grams by 64-bit hash: enough for tables of this size
