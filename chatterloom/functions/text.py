@@ -59,7 +59,7 @@ def split_plain(c: Column) -> Column:
 
 def sanitize_token(c: Column) -> Column:
     dashes = F.translate(utrim(c), "‐‑‒–—", "-----")
-    return F.regexp_replace(F.regexp_replace(dashes, r"(?U)\s+", "_"), r"(?U)[^\w\-/]", "_")
+    return F.regexp_replace(F.regexp_replace(dashes, r"(?U)\s+", "_"), r"[^\p{L}\p{N}_\-/]", "_")
 
 
 def excerpt(c: Column, most: int = 220) -> Column:

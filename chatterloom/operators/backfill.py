@@ -43,6 +43,17 @@ def date_fill(core: DataFrame, raw: DataFrame) -> DataFrame:
     return rows.join(first, ["channel", "m"], "left").select("row_id", "filled_date")
 
 
+def merged(core: DataFrame, raw: DataFrame) -> DataFrame:
+    """row_id, channel, msg_date and where each came from: the exact match first, then the fuzzy one, then the row's own; dates by message number last."""
+    exact, fuzzy, dates = (f.select("row_id", *[F.col(c).alias(f"{n}_{c}") for c in f.columns if c.startswith("filled")]) for n, f in (("exact", exact_fill(core, raw)), ("fuzzy", fuzzy_fill(core, raw)), ("number", date_fill(core, raw))))
+    rows = core.select("row_id", "channel", "msg_date").join(exact, "row_id", "left").join(fuzzy, "row_id", "left").join(dates, "row_id", "left")
+    came = F.when(F.col("exact_filled_channel").isNotNull(), "exact").when(F.col("fuzzy_filled_channel").isNotNull(), "fuzzy").when(F.col("channel").isNotNull(), "own")
+    return rows.select(
+        "row_id", F.coalesce("exact_filled_channel", "fuzzy_filled_channel", "channel").alias("channel"),
+        F.coalesce("exact_filled_date", "fuzzy_filled_date", "msg_date", "number_filled_date").alias("msg_date"), came.alias("channel_from"),
+    )
+
+
 def fill_summary(filled: DataFrame) -> DataFrame:
     matched, many = F.col("match_count") > 0, F.col("match_channels").contains(";")
     return filled.agg(

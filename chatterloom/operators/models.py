@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -13,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterloom.operators.sampling import group_split
+
 
 def tfidf(df: DataFrame, key: str, text: str, min_df: int = 2, max_features: int = 20_000) -> DataFrame:
     """key, term, weight: words of two or more characters, smooth idf, each text of norm one.
@@ -47,11 +50,15 @@ def logistic_gd(patterns: DataFrame, tokens: str, label: str, vocabulary: Sequen
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
         x[i, [at[t] for t in r["t"] if t in at]] = 1
-    y, k = np.array([r["y"] for r in rows], float), np.array([r["count"] for r in rows], float)
-    n = k.sum()
+    return descend(x, np.array([r["y"] for r in rows], float), np.array([r["count"] for r in rows], float), rate, steps, c)
+
+
+def descend(x: np.ndarray, y: np.ndarray, k: np.ndarray, rate: float, steps: int, c: float = 1.0) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept by full-batch gradient descent on rows that count k times, with balanced classes."""
+    n = max(k.sum(), 1)
     of = {v: k[y == v].sum() for v in (0.0, 1.0)}
     w = k * np.where(y == 1, n / (2 * max(of[1.0], 1)), n / (2 * max(of[0.0], 1)))
-    beta, b = np.zeros(len(names)), 0.0
+    beta, b = np.zeros(x.shape[1]), 0.0
     for _ in range(steps):
         g = w * (1 / (1 + np.exp(-(x @ beta + b))) - y)
         beta -= rate * (x.T @ g / n + beta / (c * n))
@@ -59,6 +66,82 @@ def logistic_gd(patterns: DataFrame, tokens: str, label: str, vocabulary: Sequen
     return beta, b
 
 
+def _macro(y: np.ndarray, pred: np.ndarray, k: np.ndarray) -> tuple[float, float, float]:
+    """Macro F1, macro recall and recall of the positives of rows that count k times; classes in neither do not count."""
+    f1, recall = [], []
+    for v in (0, 1):
+        tp, ours, theirs = k[(y == v) & (pred == v)].sum(), k[pred == v].sum(), k[y == v].sum()
+        if ours or theirs:
+            f1.append(2 * tp / (ours + theirs))
+        if theirs:
+            recall.append(tp / theirs)
+    positives = k[y == 1].sum()
+    return float(np.mean(f1 or [0])), float(np.mean(recall or [0])), float(k[(y == 1) & (pred == 1)].sum() / positives) if positives else 0.0
+
+
+def _auc(y: np.ndarray, p: np.ndarray, k: np.ndarray) -> float:
+    _, group = np.unique(p, return_inverse=True)
+    pos, neg = (np.bincount(group, k * (y == v)) for v in (1, 0))
+    below = np.cumsum(neg) - neg
+    total = pos.sum() * neg.sum()
+    return float((pos * (below + neg / 2)).sum() / total) if total else float("nan")
+
+
+THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
+TUNED = "best_rate double, threshold double, n_features int, n_test bigint, accuracy double, macro_f1 double, macro_recall double, recall_pos double, roc_auc double, brier double, ece double"
+
+
+def val_tuned(split: np.ndarray, tokens: Sequence[Sequence[str]], y: np.ndarray, k: np.ndarray, rates: Sequence[float], steps: int) -> tuple:
+    """Values of TUNED: the rate and threshold with the best macro F1 on val (the first of equals), fitted again on train and val, judged on test.
+
+    The vocabulary is that of train and val. Rows are patterns that count k times.
+    """
+    seen = split != "test"
+    names = sorted({t for ts, s in zip(tokens, seen) if s for t in ts})
+    at = {t: i for i, t in enumerate(names)}
+    x = np.zeros((len(y), len(names)))
+    for i, ts in enumerate(tokens):
+        x[i, [at[t] for t in ts if t in at]] = 1
+    y, k = y.astype(float), k.astype(float)
+    train, val, test = (split == s for s in ("train", "val", "test"))
+    best = (-1.0, rates[0], THRESHOLDS[0])
+    for rate in rates:
+        beta, b = descend(x[train], y[train], k[train], rate, steps)
+        p = 1 / (1 + np.exp(-(x[val] @ beta + b)))
+        for t in THRESHOLDS:
+            score = _macro(y[val], (p >= t).astype(int), k[val])[0]
+            if score > best[0]:
+                best = (score, rate, t)
+    beta, b = descend(x[seen], y[seen], k[seen], best[1], steps)
+    p, y, k = 1 / (1 + np.exp(-(x[test] @ beta + b))), y[test], k[test]
+    pred, n = (p >= best[2]).astype(int), max(k.sum(), 1)
+    bins = np.floor(p * 10)
+    ece = sum(abs((k * (p - y))[bins == i].sum()) for i in range(10)) / n
+    return best[1], best[2], len(names), int(k.sum()), float(k[y == pred].sum() / n), *_macro(y, pred, k), _auc(y, p, k), float((k * (p - y) ** 2).sum() / n), float(ece)
+
+
+def tuned_grid(rows: DataFrame, tokens: str, label: str, group: str, key: str, sets: dict[str, Sequence[str]], seeds: Sequence[int], rates: Sequence[float] = (0.001, 0.003, 0.01), steps: int = 1000) -> DataFrame:
+    """model, seed and TUNED for every set of token prefixes and every seeded split.
+
+    A fifth of the groups is test; of the other rows the eighth with the smallest seeded hashes is val. Rows are
+    collapsed to token sets with counts, so a task gets the patterns of one model and seed, not its rows.
+    """
+    spark = rows.sparkSession
+    split = group_split(rows, group, seeds)
+    x = rows.join(split, group).withColumn("val", F.pmod(F.xxhash64(F.col(key), F.col("seed")), F.lit(1000)) < 125)
+    x = x.withColumn("split", F.when(F.col("split") == "test", "test").when(F.col("val"), "val").otherwise("train"))
+    x = x.groupBy("seed", "split", F.array_sort(F.array_distinct(tokens)).alias("t"), F.col(label).cast("int").alias("y")).agg(F.count("*").alias("k"))
+    models = F.broadcast(spark.createDataFrame([(m, list(p)) for m, p in sets.items()], "model string, prefixes array<string>"))
+    held = F.filter("t", lambda t: F.array_contains(F.col("prefixes"), F.element_at(F.split(t, "="), 1)))
+    x = x.crossJoin(models).groupBy("model", "seed", "split", held.alias("t"), "y").agg(F.sum("k").alias("k"))
+
+    def fit(key, part):
+        part = part.sort_values(["split", "y", "k"], kind="stable")
+        return pd.DataFrame([(*key, *val_tuned(part["split"].to_numpy(), part["t"].tolist(), part["y"].to_numpy(), part["k"].to_numpy(), rates, steps))], columns=["model", "seed", *[c.split()[0] for c in TUNED.split(", ")]])
+
+    return x.groupBy("model", "seed").applyInPandas(fit, "model string, seed int, " + TUNED)
+
+
 def score_gd(df: DataFrame, tokens: str, vocabulary: Sequence[str], beta: np.ndarray, b: float) -> DataFrame:
     """df with p, the probability under the model, as one expression."""
     weights = F.create_map(*[x for t, v in zip(sorted(vocabulary), beta) for x in (F.lit(t), F.lit(float(v)))])

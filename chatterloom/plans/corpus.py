@@ -165,6 +165,12 @@ def exact_backfill(spark, sf_dir):
     return backfill.exact_fill(table(spark, sf_dir, "full_risk_v2_core"), table(spark, sf_dir, "raw_corpus"))
 
 
+@query()
+def merged_backfill(spark, sf_dir):
+    """Core rows with channel and date filled: exact, fuzzy, then their own."""
+    return backfill.merged(table(spark, sf_dir, "full_risk_v2_core"), table(spark, sf_dir, "raw_corpus"))
+
+
 @query()
 def fuzzy_backfill(spark, sf_dir):
     return backfill.fuzzy_fill(table(spark, sf_dir, "full_risk_v2_core"), table(spark, sf_dir, "raw_corpus"))

@@ -11,6 +11,7 @@ from chatterloom.operators import models
 from chatterloom.operators.annotation import SIGNALS
 from chatterloom.plans import corpus
 from chatterloom.plans.training import MEGA, table
+from chatterloom.session import stage
 
 QUERIES, ORACLE = {}, {}
 
@@ -75,17 +76,26 @@ def signal_accuracies(spark, sf_dir):
     return spark.createDataFrame(sorted(acc.items()), "signal_key string, accuracy double")
 
 
+FIELDS = {"full": ("theme", "claim", "cta", "evid"), "theme only": ("theme",), "claim only": ("claim",), "cta only": ("cta",), "evidence only": ("evid",), "without theme": ("claim", "cta", "evid")} | {
+    "drop claim": ("theme", "cta", "evid"), "drop cta": ("theme", "claim", "evid"), "drop evidence": ("theme", "claim", "cta"),
+}
+
+
 @query()
 def ablation_grid(spark, sf_dir):
-    """Style model on subsets of the tag fields, metrics on test."""
-    rows, out = styled(spark, sf_dir), None
-    for name, fields in (("full", ("claim", "cta", "evid")), ("claim only", ("claim",)), ("cta only", ("cta",)), ("evidence only", ("evid",)), ("drop claim", ("cta", "evid")), ("drop cta", ("claim", "evid")), ("drop evidence", ("claim", "cta"))):
-        vocabulary = [t for t in STYLE if t.split("=")[0] in fields]
-        beta, b = models.logistic_gd(rows.where("split = 'train'"), "tokens", "y", vocabulary)
-        scored = models.score_gd(rows.where("split = 'test'"), "tokens", vocabulary, beta, b).withColumn("pred", (F.col("p") >= 0.5).cast("int")).withColumn("fields", F.lit(name))
-        part = M.bundle(scored, ["fields"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Style model on nine subsets of the tag fields and ten seeded splits by domain, rate and threshold chosen on val, metrics on test."""
+    m = table(spark, sf_dir, MEGA)
+    tokens = L.style_tokens(L.norm_theme(F.col("theme")), L.norm_labels(F.col("claim_types"), L.CLAIM_RULES), L.norm_labels(F.col("ctas"), L.CTA_RULES), L.norm_labels(F.col("evidence"), L.EVIDENCE_RULES, "link|url"))
+    y = (F.col("risk_label") > 0).cast("int")
+    rows = m.where("risk_label is not null and normalized_domain is not null").select("message_id", "normalized_domain", y.alias("y"), tokens.alias("tokens"))
+    return models.tuned_grid(stage(rows, "style-rows"), "tokens", "y", "normalized_domain", "message_id", FIELDS, range(10))
+
+
+@query()
+def ablation_summary(spark, sf_dir):
+    """Mean and sample deviation over the seeds of every subset."""
+    metrics = ("accuracy", "macro_f1", "macro_recall", "recall_pos", "roc_auc", "brier", "ece")
+    return ablation_grid(spark, sf_dir).groupBy("model").agg(F.count("*").alias("n_seeds"), *[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
 @query()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chatterloom.plans import corpus, dynamics, evaluation, modelling, training
+from chatterloom.plans import clusters, corpus, dynamics, evaluation, modelling, training
 
-MODULES = (training, dynamics, evaluation, corpus, modelling)
+MODULES = (training, dynamics, evaluation, corpus, clusters, modelling)
 
 
 def queries() -> dict:
