@@ -158,6 +158,7 @@ Chart / price graph / TA diagram: chart|graph|tradingview|ta\\b
 Other (Evidence):
 """,
 }
+# Other spellings of codebook labels, by field.
 SYNONYMS = {
     "theme": {
         "lifestyle & well-being": "Lifestyle & well‑being", "lifestyle & well being": "Lifestyle & well‑being", "healthcare": "Public health & medicine", "health": "Public health & medicine",

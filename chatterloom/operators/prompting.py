@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from chatterloom.operators.annotation import RECORD
 
+# Marks of the prompt format.
+USER_HEAD = "message text:"
+PAGE_HEAD = "\n\n--- Appended Web Content ---\n"
+CUT_MARK = " [Content Truncated]"
 PAGE_CHARS = 4000
 
 
@@ -29,7 +33,7 @@ def search_results_wanted(c: Column) -> Column:
 
 
 def chat(system: Column, text: Column) -> Column:
-    return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), F.concat(F.lit("message text:"), text).alias("content")))
+    return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), F.concat(F.lit(USER_HEAD), text).alias("content")))
 
 
 def prompt_and_label(messages: Column) -> tuple[Column, Column]:
@@ -41,8 +45,8 @@ def with_page(messages: DataFrame, pages: DataFrame, text: str) -> DataFrame:
     """messages with the text of the page its first URL names appended, cut at 4000 characters. pages: url, content, one row a url."""
     page = pages.select(F.col("url").alias("_url"), F.col("content").alias("_content")).where("_content <> ''")
     joined = messages.withColumn("_first", first_url(F.col(text))).join(page, F.col("_first") == F.col("_url"), "left")
-    body = F.when(F.length("_content") > PAGE_CHARS, F.concat(F.substring("_content", 1, PAGE_CHARS), F.lit(" [Content Truncated]"))).otherwise(F.col("_content"))
-    added = F.when(F.col("_content").isNotNull(), F.concat(F.col(text), F.lit("\n\n--- Appended Web Content ---\n"), body)).otherwise(F.col(text))
+    body = F.when(F.length("_content") > PAGE_CHARS, F.concat(F.substring("_content", 1, PAGE_CHARS), F.lit(CUT_MARK))).otherwise(F.col("_content"))
+    added = F.when(F.col("_content").isNotNull(), F.concat(F.col(text), F.lit(PAGE_HEAD), body)).otherwise(F.col(text))
     return joined.withColumn(text, added).drop("_first", "_url", "_content")
 
 

@@ -32,8 +32,8 @@ def read_csv_xz(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with file and place, so that the later record of an id can be told."""
-    return spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    """JSON lines with file, start of the block and pos, so that the later record of an id can be told: ordered by these three, lines stand as in the sorted files."""
+    return spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -15,6 +15,10 @@ def weekly_tail(events: DataFrame, ts: str, score: str, threshold: float, late:
     )
 
 
-def first_answers(log: DataFrame, ts: str, key: str = "message_id", late: str = "1 day") -> DataFrame:
-    """Records free of errors, one per key within the watermark."""
-    return log.where("error is null").withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def latest_answers(log: DataFrame, ts: str, key: str = "message_id") -> DataFrame:
+    """The latest record free of errors of every key, all columns; of equal times the greatest record. In update mode a later record replaces an earlier one.
+
+    The state holds a record per key for as long as the query runs, since any of them can still be replaced.
+    """
+    kept = F.max_by(F.struct("*"), F.struct(ts, F.to_json(F.struct("*"))))
+    return log.where("error is null").groupBy(F.col(key).alias("_key")).agg(kept.alias("r")).select("r.*")

@@ -99,3 +99,33 @@ def test_release_deletes_staged_tables(spark):
     assert staged.count() == 3 and os.path.isdir(session._own_dir(spark))
     session.release(spark)
     assert not os.path.exists(session._own_dir(spark))
+
+
+def test_latest_answers_in_a_stream(spark, tmp_path):
+    from chatterloom.streaming.monitor import latest_answers
+
+    schema = "message_id long, ts timestamp, error string, answer string"
+    for i, rows in enumerate(([(1, "2024-01-01 00:00:00", None, "a"), (2, "2024-01-01 00:00:00", "x", "b")], [(1, "2024-01-02 00:00:00", None, "c"), (2, "2024-01-01 00:00:01", None, "d")])):
+        spark.createDataFrame(rows, "message_id long, ts string, error string, answer string").write.json(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*")
+    latest_answers(stream, "ts").writeStream.outputMode("complete").format("memory").queryName("answers").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.message_id, r.answer) for r in spark.table("answers").collect()} == {(1, "c"), (2, "d")}
+
+
+def test_places_of_json_lines(spark, tmp_path):
+    from chatterloom.sources.readers import read_json_document, read_jsonl
+
+    (tmp_path / "b.jsonl").write_text('{"x": 3}\n\n{"x": 4}\n')
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n{"x": 2}\n')
+    assert [r.x for r in read_jsonl(spark, str(tmp_path), "x int").orderBy("file", "block", "pos").collect()] == [1, 2, 3, 4]
+    (tmp_path / "c.json").write_text('[{"x": 5}, {"x": 6}]')
+    assert [r.x for r in read_json_document(spark, f"{tmp_path}/c.json", "x int").collect()] == [5, 6]
+
+
+def test_token_helpers(spark):
+    from chatterloom.functions import text as T
+
+    df = spark.createDataFrame([(" a‑b c/d & é ", " x , ,NA,y")], "a string, b string")
+    r = df.select(T.sanitize_token(F.col("a")).alias("s"), T.split_plain(F.col("b")).alias("p"), T.token_count(F.col("a")).alias("n")).first()
+    assert r.s == "a-b_c/d___é" and r.p == ["x", "NA", "y"] and r.n == 4
+
