@@ -141,9 +141,10 @@ def model_summary(spark, sf_dir):
     return table(spark, sf_dir, RUNS).groupBy("model").agg(F.count("*").alias("n_runs"), *[F.round(f(m), 6).alias(f"{m}_{'mean' if f is F.avg else 'std'}") for m, fs in spec.items() for f in fs])
 
 
-@query(f"SELECT theme, round(avg(macro_f1) FILTER (model = 'tfidf'), 6) AS tfidf, round(avg(macro_f1) FILTER (model = 'style'), 6) AS style, round(avg(macro_f1) FILTER (model = 'combined'), 6) AS combined FROM {RUNS} GROUP BY theme")
+@query(f"SELECT theme, round(avg(macro_f1) FILTER (model = 'tfidf'), 8) AS tfidf, round(avg(macro_f1) FILTER (model = 'style'), 8) AS style, round(avg(macro_f1) FILTER (model = 'combined'), 8) AS combined FROM {RUNS} GROUP BY theme")
 def theme_by_model(spark, sf_dir):
-    return table(spark, sf_dir, RUNS).groupBy("theme").pivot("model", ["tfidf", "style", "combined"]).agg(F.round(F.avg("macro_f1"), 6))
+    """Means keep eight digits: those of a few values of six digits would often stand on a tie at six."""
+    return table(spark, sf_dir, RUNS).groupBy("theme").pivot("model", ["tfidf", "style", "combined"]).agg(F.round(F.avg("macro_f1"), 8))
 
 
 @query("SELECT model, metric, round(avg(value), 6) AS value FROM (" + " UNION ALL ".join(f"SELECT model, '{m}' AS metric, {m} AS value FROM {RUNS}" for m in METRICS) + ") GROUP BY ALL")
